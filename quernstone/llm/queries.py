@@ -135,8 +135,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict_languages(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {"op1_token_counts": op1_token_counts, "op2_decontamination": op2_decontamination, "op9_language_id": op9_language_id, "op3_url_filter": op3_url_filter, "op5_byte_bpe": op5_byte_bpe, "op8_line_dedup": op8_line_dedup}
+    return {"op10_ngram_jaccard": op10_ngram_jaccard, "op1_token_counts": op1_token_counts, "op2_decontamination": op2_decontamination, "op9_language_id": op9_language_id, "op3_url_filter": op3_url_filter, "op5_byte_bpe": op5_byte_bpe, "op8_line_dedup": op8_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
