@@ -102,6 +102,12 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -142,7 +148,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op10_ngram_jaccard": op10_ngram_jaccard, "op1_token_counts": op1_token_counts, "op2_decontamination": op2_decontamination, "op9_language_id": op9_language_id, "op3_url_filter": op3_url_filter, "op5_byte_bpe": op5_byte_bpe, "op8_line_dedup": op8_line_dedup}
+    return {"op7_suffix_dedup": op7_suffix_dedup, "op10_ngram_jaccard": op10_ngram_jaccard, "op1_token_counts": op1_token_counts, "op2_decontamination": op2_decontamination, "op9_language_id": op9_language_id, "op3_url_filter": op3_url_filter, "op5_byte_bpe": op5_byte_bpe, "op8_line_dedup": op8_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
