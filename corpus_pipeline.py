@@ -1,11 +1,65 @@
-"""The corpus pipeline; its stages are added as the operators are."""
+"""The corpus pipeline: from raw documents to token ids, in five stages.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept; ``run`` writes its
+result as Parquet in the shared folder and reads it again for the next one, so a lost executor costs
+no more than the tasks it ran. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quernstone.llm.bpe import encode_decode
+from quernstone.llm.common import Scratch, table
+from quernstone.llm.decontaminate import remove_contaminated
+from quernstone.llm.jaccard_join import keep_one_of_each
+from quernstone.llm.language_id import keep_identified
+from quernstone.llm.line_dedup import dedup_lines
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has no language go."""
+    return keep_identified(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten or more documents go; the texts are what is left."""
+    out = dedup_lines(docs).withColumn("text", F.col("line_dedup.kept"))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies, the document of the smallest id stays."""
+    return keep_one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with benchmark passages in a twentieth of their words or more go."""
+    return remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token ids of each document, as number and digest, and the digest of the text decoded from them."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode_decode(docs, path, public_tokenizers.PATTERN, outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", decontamination),
+    ("byte-level BPE", tokens),
+]
+
+#: SQL cannot express stages 1 and 5; the pipeline is tested against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for _, stage in STAGES[:-1]:
+        docs = scratch.keep(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

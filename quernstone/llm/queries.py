@@ -89,6 +89,12 @@ from ruled
 """
 
 
+def op4_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neighbours import search
+
+    return search(table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -102,6 +108,14 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its probabilities; ``toxic`` is the flag."""
+    from .toxicity import predict_toxicity
+
+    out = predict_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ("quality", "toxic"))
+    return out.select("doc_id", "p_quality", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
@@ -148,7 +162,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_suffix_dedup": op7_suffix_dedup, "op10_ngram_jaccard": op10_ngram_jaccard, "op1_token_counts": op1_token_counts, "op2_decontamination": op2_decontamination, "op9_language_id": op9_language_id, "op3_url_filter": op3_url_filter, "op5_byte_bpe": op5_byte_bpe, "op8_line_dedup": op8_line_dedup}
+    return {"op4_nearest_neighbours": op4_nearest_neighbours, "op6_toxicity": op6_toxicity, "op7_suffix_dedup": op7_suffix_dedup, "op10_ngram_jaccard": op10_ngram_jaccard, "op1_token_counts": op1_token_counts, "op2_decontamination": op2_decontamination, "op9_language_id": op9_language_id, "op3_url_filter": op3_url_filter, "op5_byte_bpe": op5_byte_bpe, "op8_line_dedup": op8_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
