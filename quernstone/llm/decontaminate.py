@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship, utf8
+from .common import column, ship, utf8
 
 #: What is not a word character becomes a space, A-Z become a-z.
 WORDS = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -331,7 +331,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_
     """find_contamination with the kept columns named __k0, __k1 and so on."""
     ship(docs.sparkSession)
     columns = [f"__k{n}" for n in range(len(keep))]
-    base = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, columns, strict=True)), F.col(text).alias("__text"))
+    base = docs.select(*(column(c).alias(k) for c, k in zip(keep, columns, strict=True)), column(text).alias("__text"))
     blocks = list(_blocks(benchmark, item_id, item_text, block_bytes)) or [[]]
     if len(blocks) == 1:
         out = _search(base, blocks[0], window, columns)

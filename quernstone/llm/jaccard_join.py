@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, ship, utf8
+from .common import Scratch, column, mix, ship, utf8
 from .rolling import shingle_sets
 
 GROUPS = 32
@@ -305,6 +305,8 @@ def _rest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if side == 0:
                 held.append(own)
                 continue
+            if not held:  # a block of the hash without a class
+                continue
             if tree is None:
                 block = {k: np.concatenate([x[k] for x in held]) for k in own}
                 tree = RTree(block["point"], block["n"].astype(np.int64))
@@ -374,7 +376,7 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "jaccard")
-    docs = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
+    docs = docs.select(column(id).cast("long").alias("id"), column(text).alias("text"))
     described = scratch.keep(docs.mapInArrow(_describe, "id long, c long, n int, point binary, seen long"))
     rows = described.filter("n >= 0")
     top = described.filter("n < 0").groupBy("c").agg(F.sum("seen").alias("n")).filter("n >= 32").orderBy(F.desc("n"), "c").limit(MOST_FREQUENT).collect()
@@ -415,7 +417,9 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
 
 def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component stays, with all its columns: that of the smallest id. Rows without id stay."""
-    groups = similar_groups(docs, id, text)
-    stay = groups.filter(F.col(id) == F.col("component_id")).select(F.col(id).alias("__stay")).distinct()
-    kept = docs.join(stay, docs[id] == F.col("__stay"), "left_semi").dropDuplicates([id])
-    return kept.unionByName(docs.filter(F.col(id).isNull()))
+    groups = similar_groups(docs, id, text).toDF("__id", "__n", "__component")
+    stay = groups.filter("__id = __component").select(F.col("__id").alias("__stay")).distinct()
+    names = [f"__c{n}" for n in range(len(docs.columns))]
+    own = docs.select(column(id).cast("long").alias("__id"), *(column(c).alias(k) for c, k in zip(docs.columns, names, strict=True)))
+    kept = own.join(stay, F.col("__id") == F.col("__stay"), "left_semi").dropDuplicates(["__id"])
+    return kept.unionByName(own.filter("__id is null")).select(*(F.col(k).alias(c) for c, k in zip(docs.columns, names, strict=True)))

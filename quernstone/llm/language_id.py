@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, ship, utf8
+from .common import Scratch, column, ship, utf8
 
 MARK, STRETCH = "▁", 32
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -133,7 +133,7 @@ def _count_words(train: DataFrame) -> DataFrame:
             for lang, raw in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
                 found.setdefault(lang, Counter()).update(words_of(raw.decode("utf-8", "replace")))
             for lang, count in found.items():
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(count)), pa.array(list(count)), pa.array(list(count.values()), pa.int64())], ["lang", "word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(count), pa.string()), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["lang", "word", "n"])
 
     return train.mapInArrow(rows, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
@@ -165,7 +165,7 @@ def learn(docs: DataFrame, pieces: list[str], id: str = "doc_id", text: str = "t
                     total[x] = total.get(x, 0) + got
             for x, got in total.items():
                 at = np.flatnonzero(got)
-                yield pa.RecordBatch.from_arrays([pa.array([x] * len(at)), pa.array(at, pa.int32()), pa.array(got[at])], ["lang", "piece", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(got[at])], ["lang", "piece", "n"])
 
         found = counts.mapInArrow(expect, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         shared.unpersist()
@@ -185,7 +185,7 @@ class Scorer:
     def __init__(self, pieces: list[str], model: dict[str, np.ndarray]) -> None:
         self.number, self.longest = {p: k for k, p in enumerate(pieces)}, max(map(len, pieces))
         self.langs = sorted(model)
-        self.probability = np.concatenate([np.stack([model[x] for x in self.langs], 1), np.full((1, len(self.langs)), UNKNOWN)])
+        self.probability = np.stack([np.append(model[x], UNKNOWN) for x in self.langs] or [np.empty(0)], 1)
         self.clear()
 
     def clear(self) -> None:
@@ -224,7 +224,7 @@ def identify(docs: DataFrame, pieces: list[str], model: dict[str, np.ndarray], t
     ship(spark)
     shared = spark.sparkContext.broadcast((pieces, model))
     columns = [f"__k{n}" for n in range(len(keep))]
-    base = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, columns, strict=True)), F.col(text).alias("__text"))
+    base = docs.select(*(column(c).alias(k) for c, k in zip(keep, columns, strict=True)), column(text).alias("__text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)

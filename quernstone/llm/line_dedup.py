@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, lower_ascii
+from .common import BLANKS, column, lower_ascii
 
 
 def _line_hashes(text: Column, min_chars: int) -> Column:
@@ -35,7 +35,7 @@ def _line_hashes(text: Column, min_chars: int) -> Column:
 
 def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """The hashes (``line_hash``) of line keys found in at least ``min_docs`` rows, with ``n_docs``."""
-    hashes = F.array_compact(F.array_distinct(_line_hashes(F.col(text), max(1, min_chars))))
+    hashes = F.array_compact(F.array_distinct(_line_hashes(column(text), max(1, min_chars))))
     return (
         docs.select(F.explode(hashes).alias("line_hash"))
         .groupBy("line_hash")
@@ -46,31 +46,26 @@ def frequent_lines(docs: DataFrame, text: str = "text", min_docs: int = 10, min_
 
 def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, out: str = "line_dedup") -> DataFrame:
     """``docs`` with a struct ``out``: ``kept`` (the text of the remaining lines), ``n_lines``, ``n_dropped``."""
-    frequent = frequent_lines(docs, text, min_docs, min_chars).select(F.col("line_hash").alias("__hash"))
+    names = [c for c in docs.columns if c != out]
+    kept_columns = [f"__c{n}" for n in range(len(names))]
+    docs = docs.select(column(id).alias("__id"), column(text).alias("__text"), *(column(c).alias(k) for c, k in zip(names, kept_columns, strict=True)))
+    docs = docs.withColumns({"__k1": F.xxhash64("__text"), "__k2": F.xxhash64(F.lit(1), F.col("__text"))})
+    frequent = frequent_lines(docs, "__text", min_docs, min_chars).select(F.col("line_hash").alias("__hash"))
     # A row is known by its id and two hashes of its text; rows equal in all of these lose the same lines.
-    key = [F.col(id).alias("__id"), F.xxhash64(F.col(text)).alias("__k1"), F.xxhash64(F.lit(1), F.col(text)).alias("__k2")]
     dropped = (
-        docs.select(*key, F.posexplode(_line_hashes(F.col(text), max(1, min_chars))).alias("__pos", "__hash"))
+        docs.select("__id", "__k1", "__k2", F.posexplode(_line_hashes(F.col("__text"), max(1, min_chars))).alias("__pos", "__hash"))
         .filter(F.col("__hash").isNotNull())
         .join(frequent, "__hash")
-        .groupBy("__id", "__k1", "__k2")
+        .groupBy(F.col("__id").alias("__rid"), F.col("__k1").alias("__r1"), F.col("__k2").alias("__r2"))
         .agg(F.collect_set("__pos").alias("__dropped"))
     )
-    left = docs.drop(out).withColumns({"__k1": F.xxhash64(F.col(text)), "__k2": F.xxhash64(F.lit(1), F.col(text))})
-    right = dropped.select(F.col("__id").alias("__rid"), F.col("__k1").alias("__r1"), F.col("__k2").alias("__r2"), "__dropped")
-    both = left.join(right, left[id].eqNullSafe(right["__rid"]) & (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2")), "left")
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__dropped"))
-    joined = F.array_join(F.transform(kept, lambda p: F.element_at(F.col("__lines"), p + 1)), "\n")
-    return (
-        both.withColumn("__lines", lines)
-        .withColumn(
-            out,
-            F.struct(
-                F.when(F.col("__dropped").isNull(), F.col(text)).otherwise(joined).alias("kept"),
-                F.size("__lines").cast("long").alias("n_lines"),
-                F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
-            ),
-        )
-        .drop("__k1", "__k2", "__rid", "__r1", "__r2", "__dropped", "__lines")
+    same = F.col("__id").eqNullSafe(F.col("__rid")) & (F.col("__k1") == F.col("__r1")) & (F.col("__k2") == F.col("__r2"))
+    both = docs.join(dropped, same, "left").withColumn("__lines", F.split(F.coalesce("__text", F.lit("")), "\n", -1))
+    places = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__dropped"))
+    joined = F.array_join(F.transform(places, lambda p: F.element_at(F.col("__lines"), p + 1)), "\n")
+    result = F.struct(
+        F.when(F.col("__dropped").isNull(), F.col("__text")).otherwise(joined).alias("kept"),
+        F.size("__lines").cast("long").alias("n_lines"),
+        F.coalesce(F.size("__dropped"), F.lit(0)).cast("long").alias("n_dropped"),
     )
+    return both.select(*(F.col(k).alias(c) for c, k in zip(names, kept_columns, strict=True)), result.alias(out))
