@@ -151,7 +151,7 @@ def label_sets(df: DataFrame, group: str, label: str, labels: Sequence[object])
 def source_violations(rows: DataFrame, split: str) -> DataFrame:
     """Rows (id, violation) that break a rule on training examples: id, split, status, messages, target, sql."""
     repeated = F.count(F.lit(1)).over(Window.partitionBy("id")) > 1
-    target = F.element_at(F.filter("messages", lambda m: m["role"] == "assistant"), -1)["content"]
+    target = F.try_element_at(F.filter("messages", lambda m: m["role"] == "assistant"), F.lit(-1))["content"]
     rules = {
         "repeated_id": repeated,
         "wrong_split": F.col("split") != split,

@@ -8,9 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 
 def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
-    """Events read as a stream from Parquet files named events*."""
+    """Events read as a stream from the Parquet files in a folder."""
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", "events*").parquet(folder)
+    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
