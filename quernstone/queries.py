@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .functions import sqlfeatures as sf
 from .functions import text as tx
-from .operators import ask, compare, dataset, evaluate, schema, vote
+from .operators import ask, compare, dataset, evaluate, records, schema, vote
 from .operators.execute import guarded
 from .session import TABLES, register, table
 from .streaming import events as streams
@@ -685,6 +685,68 @@ def _(spark, d):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.bround("total", 4).alias("total"))
 
 
+# --- Records --------------------------------------------------------------------------------------
+
+
+@_add("prediction_faults", "WITH p AS (SELECT CASE WHEN doc_id % 50 = 0 THEN doc_id // 100 ELSE doc_id END AS id, CASE WHEN doc_id % 7 = 0 THEN '' ELSE lang END AS predicted_sql, doc_id % 4 AS n FROM documents), c AS (SELECT *, count(*) OVER (PARTITION BY id) AS k FROM p) SELECT id, 'no_sql' AS fault FROM c WHERE predicted_sql = '' UNION ALL SELECT id, 'wrong_candidates' FROM c WHERE n <> 3 UNION ALL SELECT id, 'repeated_id' FROM c WHERE k > 1")
+def _(spark, d):
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").select(F.when(k % 50 == 0, F.floor(k / 100)).otherwise(k).alias("id"), F.when(k % 7 == 0, "").otherwise(F.col("lang")).alias("predicted_sql"), F.array_repeat(F.lit("x"), (k % 4).cast("int")).alias("candidates"))
+    return records.prediction_faults(rows, 3)
+
+
+@_add("latest_per_label", "SELECT o_orderpriority AS label, arg_max(o_orderkey, o_orderkey) AS orderkey, arg_max(o_totalprice, o_orderkey) AS price FROM orders GROUP BY 1")
+def _(spark, d):
+    rows = table(spark, d, "orders").select(F.col("o_orderpriority").alias("label"), F.col("o_orderkey").alias("orderkey"), F.col("o_totalprice").alias("price"))
+    return records.latest(rows, "label", "orderkey", "orderkey", "price")
+
+
+@_add("transition_ids", f"SELECT CASE WHEN good THEN 'corrected' ELSE 'regressed' END AS transition, doc_id FROM {_LABELLED} WHERE good <> rude")
+def _(spark, d):
+    return records.transition_ids(_labelled(spark, d), "doc_id", "rude", "good")
+
+
+@_add("candidate_group_sizes", "SELECT min(n) AS least, round_even(avg(n), 4) AS mean, max(n) AS most FROM (SELECT o_custkey, count(DISTINCT o_orderpriority) AS n FROM orders GROUP BY 1)")
+def _(spark, d):
+    return records.group_sizes(table(spark, d, "orders"), "o_custkey", "o_orderpriority")
+
+
+@_add("join_with_checked_side", "SELECT c_custkey AS custkey, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def _(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("custkey"), F.col("c_nationkey").alias("k"))
+    return records.join_small(c, table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("nation")), "k").select("custkey", "nation")
+
+
+@_add("override_from_manifest", "SELECT c_custkey AS id, CASE WHEN c_custkey % 10 = 0 THEN 'X' ELSE c_mktsegment END AS segment FROM customer")
+def _(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))
+    return records.override(c, c.filter("id % 10 = 0").select("id", F.lit("X").alias("segment")), "id")
+
+
+@_add("type_histogram", "SELECT * FROM (VALUES ('BIGINT', 7::BIGINT, 5::BIGINT)) AS t(data_type, n_columns, n_tables)")
+def _(spark, d):
+    names = ["customer", "supplier", "orders", "part", "events"]
+    register(spark, d, names)
+    return records.type_histogram(schema.columns(spark, names)).filter("data_type = 'BIGINT'").select("data_type", "n_columns", "n_tables")
+
+
+@_add("training_records")
+def _(spark, d):
+    rows = table(spark, d, "conversations").filter("role = 'user'").select(F.concat("conv_id", F.lit("-"), "turn").alias("id"), F.lit("db").alias("db_id"), F.lit("t(a)").alias("schema"), F.col("text").alias("question"), F.lit("SELECT 1").alias("sql"))
+    return records.training_record(rows, "Answer with SQL.", 2)
+
+
+@_add("demo_concerts", "SELECT * FROM (VALUES ('Ana', 2::BIGINT), ('Bo', 1::BIGINT), ('Cy', 1::BIGINT)) AS t(name, n)")
+def _(spark, d):
+    records.demo(spark)
+    return guarded(spark, "SELECT s.Name AS name, count(*) AS n FROM singer s JOIN concert c ON s.Singer_ID = c.Singer_ID GROUP BY s.Name")
+
+
+@_add("session_windows")
+def _(spark, d):
+    return streams.sessions(table(spark, d, "events"), "6 hours")
+
+
 def queries() -> dict[str, Query]:
     return dict(_queries)
 

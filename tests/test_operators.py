@@ -157,3 +157,21 @@ def test_streams(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         events.to_table(stream, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 6
+
+
+def test_records(spark):
+    from quernstone.operators import records
+
+    rows = spark.createDataFrame([("1", "a"), ("2", "b")], "id string, db_id string")
+    with pytest.raises(ValueError):
+        records.keep_present(rows, spark.createDataFrame([("3",)], "id string"))
+    assert records.keep_present(rows, spark.createDataFrame([("2",)], "id string")).first().id == "2"
+    with pytest.raises(ValueError):
+        records.join_consistent(rows, spark.createDataFrame([("1", "x"), ("2", "b")], "id string, db_id string"), "id", "db_id")
+    assert records.join_consistent(rows, rows.withColumn("z", F.lit(1)), "id", "db_id").columns == ["id", "db_id", "z"]
+    with pytest.raises(ValueError):
+        records.join_small(rows, spark.createDataFrame([("a", 1)], "db_id string, n int"), "db_id")
+    groups = spark.sql("SELECT array(named_struct('sql', 'x', 'audit_gold', true)) AS candidate_groups")
+    assert records.without_audit(groups).first().candidate_groups[0].asDict() == {"sql": "x"}
+    records.demo(spark)
+    assert records.resolve_gold(spark, "SELECT 1 FROM singer WHERE concert_singer concert_singer", "concert_singer").endswith("WHERE concert_singer")
