@@ -7,6 +7,8 @@ which all executors share, so that the loss of an executor costs only the tasks
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -38,24 +40,42 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
-    """Tables of one operator call in the shared folder; ``drop`` frees one as soon as it is not needed."""
+    """Tables of one operator call in the shared folder. ``drop`` frees one as soon as it is not needed;
+    what is left, and may still be read by the result, goes when the driver ends."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        atexit.register(self._end)
+
+    def _end(self) -> None:
+        with contextlib.suppress(Exception):  # the JVM may have gone before
+            self._delete(self.root)
+
+    def _delete(self, name: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
+        # Once the table is written nobody reads the shuffle files of its plan again.
+        before = self.spark.conf.get(_CLEAN, "false")
+        self.spark.conf.set(_CLEAN, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._kept_at = path
         return out
 
     def drop(self, *frames: DataFrame) -> None:
         for df in frames:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._kept_at)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(df._kept_at)
 
 
 def column(name: str) -> Column:

@@ -39,7 +39,7 @@ from .rolling import prefix_hashes, ranges
 
 GRAM = 24
 #: Segments that one task handles, and suffixes that a part of a key sorts.
-TASK_ROWS, PART_SUFFIXES = 1_500_000, 400_000
+TASK_ROWS, PART_SUFFIXES = 400_000, 400_000
 #: A place in a document: its number among rows of one id, and the byte.
 VARIANT = 1 << 40
 LAST_ID = (1 << 63) - 1
@@ -316,7 +316,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sort(length: int) -> object:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Spans that repeat; rows come sorted by key and part, and are sorted in blocks of whole groups."""
+        """The spans that repeat, a row for each segment; rows come sorted by key and part, and are sorted in
+        blocks of whole groups."""
         held: list[tuple] = []
         size, before = 0, None
 
@@ -336,11 +337,15 @@ def _sort(length: int) -> object:
                 row, offset, at, group = row[mine], offset[mine], at[mine], group[mine]
             again = repeated_suffixes(data, group, at, length)
             row, offset = row[again], offset[again]
-            cuts = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1))) if len(row) else np.empty(0, np.int64)
+            new = np.append(True, (row[1:] != row[:-1]) | (offset[1:] != offset[:-1] + 1)) if len(row) else np.empty(0, bool)
+            cuts = np.flatnonzero(new)
             count = np.diff(np.append(cuts, len(row)))
-            id, pos = np.array([r[3] for r in held], np.int64), np.array([r[4] for r in held], np.int64)
+            pos = np.array([r[4] for r in held], np.int64)[row[cuts]] + offset[cuts]
+            own = np.flatnonzero(np.append(True, row[cuts][1:] != row[cuts][:-1])) if len(cuts) else cuts
+            id = np.array([r[3] for r in held], np.int64)[row[cuts[own]]]
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(id[row[cuts]]), pa.array(pos[row[cuts]] + offset[cuts]), pa.array(count.astype(np.int64))], ["id", "pos", "n"])
+            spans = pa.StructArray.from_arrays([pa.array(pos), pa.array(count.astype(np.int64))], ["pos", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(id), pa.ListArray.from_arrays(pa.array(np.append(own, len(cuts)).astype(np.int32)), spans)], ["id", "spans"])
 
         for batch in batches:
             for r in zip(*(batch.column(c).to_pylist() for c in ("key", "of", "parts", "id", "pos", "bytes")), strict=True):
@@ -401,14 +406,14 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     parts = max(16, -(-int(size) // (40 * TASK_ROWS)))
 
     dealt = docs.select("id", "variant", "text").mapInArrow(_deal(length, parts), "part int, packed binary")
-    where = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.floor(F.rand(1) * parts).cast("int"))
+    where = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("packed"), F.lit(parts)).cast("int"))
     found = scratch.keep(dealt.repartition(parts, where).mapInArrow(_match, _FOUND))
-    whole = found.filter("key is null").select("id", "pos", "n")
+    whole = found.filter("key is null").select("id", F.array(F.struct("pos", "n")).alias("spans"))
     unclear = found.filter("key is not null")
     want = unclear.groupBy("id").agg(F.collect_list(F.struct("pos", (F.col("n") + length - 1).cast("int").alias("size"), "key", "parts")).alias("want"))
     cut = docs.join(want.withColumnRenamed("id", "w"), F.col("id") == F.col("w")).select("id", "variant", "text", "want")
     cut = cut.mapInArrow(_cut, "key long, of int, parts int, id long, pos long, bytes binary")
-    spans = cut.repartition("key", "of").sortWithinPartitions("key", "of").mapInArrow(_sort(length), "id long, pos long, n long")
-    both = scratch.keep(whole.union(spans).groupBy("id").agg(F.collect_list(F.struct("pos", "n")).alias("spans")).withColumnRenamed("id", "s"))
+    spans = cut.repartition("key", "of").sortWithinPartitions("key", "of").mapInArrow(_sort(length), "id long, spans array<struct<pos:long,n:long>>")
+    both = scratch.keep(whole.union(spans).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans")).withColumnRenamed("id", "s"))
     out = docs.join(both, F.col("id") == F.col("s"), "left").select("row_id", "variant", "text", "spans")
     return out.mapInArrow(_remove(length), "row_id long, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("row_id", id)
