@@ -12,8 +12,8 @@ is at least 80 % of the union. The join finds the connected components of all li
     smaller coordinates, and that of a set with any set below a node at most the sum of the minima
     with the node's upper corner; both must reach 4/9 of the summed sizes.
 5.  Surviving pairs are verified on the sets themselves, read again from the texts.
-6.  A bucket of more than ``SMALL`` classes first pairs each class with one pivot of fitting size, so a
-    group of near copies costs pairs in proportion to its rows. What the verified links leave apart
+6.  A bucket of more than ``SMALL`` classes first pairs each class with a few pivots of fitting size, so
+    a group of near copies costs pairs in proportion to its rows. What the verified links leave apart
     is then searched: classes outside a bucket's largest component, in blocks, each block an R-tree
     that all classes of the bucket are run against. So no link between components is lost.
 7.  Components are found by label propagation with pointer jumping on written tables.
@@ -29,6 +29,7 @@ table gives an empty table. Shingles are compared by 64-bit hashes, classes by s
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,16 +38,18 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, mix, ship, utf8
+from .common import Scratch, column, mix, ship, tidy, utf8
 from .rolling import shingle_sets
 
-GROUPS = 32
+GROUPS = 512
 #: Bits of the table that counts shingles; of its places, how many most frequent ones are kept apart.
 TABLE_BITS, MOST_FREQUENT = 22, 100_000
 #: Classes in a bucket that are compared at once; points in a block; entries of a tree's node.
 SMALL, BLOCK, FAN = 8, 512, 16
+#: Classes of each size band that the others of a large bucket are first paired with.
+PIVOTS = 6
 #: First shingles that one task handles.
-TASK_ROWS = 1_500_000
+TASK_ROWS = 500_000
 
 
 def prefix_length(n: int) -> int:
@@ -74,11 +77,19 @@ def _sums(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         return mix(total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)
 
 
-def _points(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The group counts of each set."""
+def _points(flat: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """The group counts of each set, in as many bytes for a count as the greatest one needs."""
     n = len(bounds) - 1
     of = np.repeat(np.arange(n), np.diff(bounds))
-    return np.bincount(of * GROUPS + (flat & np.uint64(GROUPS - 1)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS).astype(np.int32)
+    counts = np.bincount(of * GROUPS + (flat & np.uint64(GROUPS - 1)).astype(np.int64), minlength=n * GROUPS).reshape(n, GROUPS)
+    return [x.astype(np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32).tobytes() for x, top in zip(counts, counts.max(1, initial=0).tolist(), strict=True)]
+
+
+def _read_points(packed: list[bytes]) -> np.ndarray:
+    kinds = {GROUPS: np.uint8, 2 * GROUPS: np.uint16, 4 * GROUPS: np.uint32}
+    if all(len(x) == GROUPS for x in packed):
+        return np.frombuffer(b"".join(packed), np.uint8).reshape(-1, GROUPS)
+    return np.stack([np.frombuffer(x, kinds[len(x)]).astype(np.uint32) for x in packed])
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +106,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs += len(texts)
         last = part.column("id").type
         yield pa.RecordBatch.from_arrays(
-            [part.column("id"), pa.array(_sums(flat, bounds)), pa.array(np.diff(bounds).astype(np.int32)), pa.array([x.tobytes() for x in point], pa.binary()), pa.nulls(len(texts), pa.int64())],
+            [part.column("id"), pa.array(_sums(flat, bounds)), pa.array(np.diff(bounds).astype(np.int32)), pa.array(point, pa.binary()), pa.nulls(len(texts), pa.int64())],
             ["id", "c", "n", "point", "seen"],
         )
     if last is not None:
@@ -199,6 +210,7 @@ class RTree:
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
         self.order = np.lexsort((*points.T[:4], sizes))
+        self.place = np.argsort(self.order)
         self.points, self.sizes = points[self.order], sizes[self.order]
         self.levels = [(self.points, self.sizes, self.sizes)]
         while len(self.levels[-1][0]) > FAN:
@@ -206,6 +218,23 @@ class RTree:
             cuts = np.arange(0, len(top), FAN)
             self.levels.append((np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)))
 
+    def pairs(self) -> list[tuple[int, int]]:
+        """All pairs (smaller number first) whose overlap may suffice."""
+        if len(self.levels) == 1:
+            n = self.sizes
+            both = np.minimum(self.points[:, None], self.points[None]).sum(2, dtype=np.int64)
+            fits = (9 * both >= 4 * (n[:, None] + n)) & (5 * n >= 4 * n[:, None]) & (5 * n[:, None] >= 4 * n)
+            a, b = np.nonzero(np.triu(fits, 1))
+            found = np.sort(np.stack([self.order[a], self.order[b]], 1), 1)
+            return [(x, y) for x, y in found.tolist()]
+        return [(k, j) for k in range(len(self.order)) for j in self.near(self._of(k), self._size(k)).tolist() if k < j]
+
+    def _of(self, k: int) -> np.ndarray:
+        return self.points[self.place[k]]
+
+    def _size(self, k: int) -> int:
+        return int(self.sizes[self.place[k]])
+
     def near(self, point: np.ndarray, size: int) -> np.ndarray:
         """The points whose overlap with the given one may suffice, by number."""
         at = np.arange(len(self.levels[-1][0]))
@@ -213,7 +242,7 @@ class RTree:
             top, low, high = self.levels[level]
             fits = (5 * high[at] >= 4 * size) & (5 * size >= 4 * low[at])
             at = at[fits]
-            at = at[9 * np.minimum(top[at], point).sum(1) >= 4 * (low[at] + size)]
+            at = at[9 * np.minimum(top[at], point).sum(1, dtype=np.int64) >= 4 * (low[at] + size)]
             if level and len(at):
                 at = (at[:, None] * FAN + np.arange(FAN)).ravel()
                 at = at[at < len(self.levels[level - 1][0])]
@@ -230,7 +259,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         if not batch.num_rows:
             continue
         columns = {name: batch.column(name).to_numpy(zero_copy_only=False) for name in batch.schema.names if name != "point"}
-        points = np.frombuffer(b"".join(batch.column("point").to_pylist()), np.int32).reshape(-1, GROUPS)
+        points = _read_points(batch.column("point").to_pylist())
         new = np.zeros(batch.num_rows, bool)
         for k in keys:
             new[1:] |= columns[k][1:] != columns[k][:-1]
@@ -249,18 +278,17 @@ def _pairs_batch(pairs: list[tuple]) -> pa.RecordBatch:
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes from buckets, rows sorted by bucket, n and c: all that the bound leaves in
-    small buckets; in large ones each class with the first one whose size fits."""
+    """Pairs of classes that the bound leaves: in small buckets all, in large ones those of each class with
+    the first classes of its and the next size bands. Rows come sorted by bucket and by a hash of the
+    class, so the buckets of one group of near copies have the same first classes."""
     pairs: dict[tuple, None] = {}
     group: dict[str, np.ndarray] | None = None
 
     def small(g: dict[str, np.ndarray]) -> None:
         tree = RTree(g["point"], g["n"].astype(np.int64))
         row = list(zip(g["rep"].tolist(), g["c"].tolist(), g["n"].tolist(), strict=True))
-        for k in range(len(row)):
-            for j in tree.near(g["point"][k], int(g["n"][k])).tolist():
-                if row[k] < row[j]:
-                    pairs[*row[k], *row[j]] = None
+        for k, j in tree.pairs():
+            pairs[(*min(row[k], row[j]), *max(row[k], row[j]))] = None
 
     for first, g in _groups(batches, ["bucket"]):
         if g["m"][0] <= SMALL:
@@ -275,12 +303,18 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 group = None
             row = list(zip(g["rep"].tolist(), g["c"].tolist(), g["n"].tolist(), strict=True))
             if first:
-                pivot, point = row[0], g["point"][0]
+                pivots = {}
             for k, x in enumerate(row):
-                if 5 * pivot[2] < 4 * x[2]:
-                    pivot, point = x, g["point"][k]
-                elif x != pivot and 9 * int(np.minimum(point, g["point"][k]).sum()) >= 4 * (pivot[2] + x[2]):
-                    pairs[(*min(x, pivot), *max(x, pivot))] = None
+                band = int(math.log(x[2]) / math.log(1.25))
+                near = [p for b in (band - 1, band, band + 1) for p in pivots.get(b, ())]
+                if near:
+                    sizes = np.array([p[0][2] for p in near])
+                    both = np.minimum(np.stack([p[1] for p in near]), g["point"][k]).sum(1, dtype=np.int64)
+                    for j in np.flatnonzero((9 * both >= 4 * (sizes + x[2])) & (5 * sizes >= 4 * x[2]) & (5 * x[2] >= 4 * sizes)).tolist():
+                        y = near[j][0]
+                        pairs[(*min(x, y), *max(x, y))] = None
+                if len(pivots.setdefault(band, [])) < PIVOTS:
+                    pivots[band].append((x, g["point"][k]))
         if len(pairs) >= 50_000:
             yield _pairs_batch(list(pairs))
             pairs.clear()
@@ -345,10 +379,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The links among pairs, as (a, b) of ids."""
     wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "w")
     texts = docs.join(wanted, docs["id"] == wanted["w"], "left_semi").select("text")
-    sets = scratch.keep(texts.mapInArrow(_sets, "c long, n int, tokens binary").dropDuplicates(["c", "n"]))
+    sets = scratch.keep(texts.mapInArrow(tidy(_sets), "c long, n int, tokens binary"))
     one = sets.select(F.col("c").alias("ac"), F.col("n").alias("an"), F.col("tokens").alias("x"))
     two = sets.select(F.col("c").alias("bc"), F.col("n").alias("bn"), F.col("tokens").alias("y"))
-    links = scratch.keep(pairs.join(one, ["ac", "an"]).join(two, ["bc", "bn"]).select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long").distinct())
+    links = scratch.keep(pairs.join(one, ["ac", "an"]).join(two, ["bc", "bn"]).select("a", "b", "x", "y").mapInArrow(tidy(_verify), "a long, b long").distinct())
     scratch.drop(sets)
     return links
 
@@ -377,23 +411,23 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     ship(spark)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(column(id).cast("long").alias("id"), column(text).alias("text"))
-    described = scratch.keep(docs.mapInArrow(_describe, "id long, c long, n int, point binary, seen long"))
+    described = scratch.keep(docs.mapInArrow(tidy(_describe), "id long, c long, n int, point binary, seen long"))
     rows = described.filter("n >= 0")
     top = described.filter("n < 0").groupBy("c").agg(F.sum("seen").alias("n")).filter("n >= 32").orderBy(F.desc("n"), "c").limit(MOST_FREQUENT).collect()
     shingles = rows.agg(F.sum("n")).first()[0] or 0
     parts = max(16, -(-int(shingles) // (5 * TASK_ROWS)))
     classes = scratch.keep(rows.filter("n > 0").groupBy("c", "n").agg(F.min("id").alias("rep"), F.max("point").alias("point")))
 
-    dealt = docs.select("text").mapInArrow(_deal([(r["c"], r["n"]) for r in top], parts), "part int, packed binary")
-    buckets = scratch.keep(dealt.repartition(parts, "part").mapInArrow(_buckets, "bucket long, m int, c long, n int"))
+    dealt = docs.select("text").mapInArrow(tidy(_deal([(r["c"], r["n"]) for r in top], parts)), "part int, packed binary")
+    buckets = scratch.keep(dealt.repartition(parts, "part").mapInArrow(tidy(_buckets), "bucket long, m int, c long, n int").distinct())
     points = buckets.join(classes.filter("rep is not null"), ["c", "n"]).select("bucket", "m", "c", "n", "rep", "point")
-    pairs = scratch.keep(points.repartition("bucket").sortWithinPartitions("bucket", "n", "c").mapInArrow(_first_pairs, _PAIR).distinct())
+    pairs = scratch.keep(points.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("c"), "c", "n").mapInArrow(tidy(_first_pairs), _PAIR).distinct())
     links = _verified(pairs, docs, scratch)
     labels = components(links, scratch)
 
     # Classes of large buckets that the links so far leave apart.
     known = classes.select("c", "n", "rep", "point").join(labels, F.col("rep") == labels["node"], "left").select("c", "n", "rep", "point", F.coalesce("label", "rep").alias("label"))
-    large = scratch.keep(buckets.filter(F.col("m") > SMALL).select("bucket", "c", "n").distinct().join(known.filter("rep is not null"), ["c", "n"]))
+    large = scratch.keep(buckets.filter(F.col("m") > SMALL).select("bucket", "c", "n").join(known.filter("rep is not null"), ["c", "n"]))
     by_label = large.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
     apart = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("major"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
     apart = apart.withColumn("blocks", F.ceil(F.col("others") / BLOCK).cast("int"))
@@ -402,7 +436,7 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     run = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
     columns = ["bucket", "block", "side", "c", "n", "rep", "label", "point"]
     both = inside.select(columns).union(run.select(columns))
-    more = scratch.keep(both.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "side").mapInArrow(_rest_pairs, _PAIR).distinct())
+    more = scratch.keep(both.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "side").mapInArrow(tidy(_rest_pairs), _PAIR).distinct())
     if more.limit(1).count():
         found = _verified(more, docs, scratch)
         if found.limit(1).count():

@@ -243,13 +243,20 @@ def test_label_propagation(spark):
 
 def test_r_tree_finds_all_that_the_bound_allows():
     rng = np.random.default_rng(4)
-    points = rng.integers(0, 5, (300, jaccard_join.GROUPS)).astype(np.int32)
+    points = rng.integers(0, 5, (300, jaccard_join.GROUPS)).astype(np.uint8)
     points[150:] = points[:150] + rng.integers(0, 2, (150, jaccard_join.GROUPS))
     sizes = points.sum(1).astype(np.int64)
     tree = jaccard_join.RTree(points, sizes)
     for k in range(300):
         fits = (9 * np.minimum(points, points[k]).sum(1) >= 4 * (sizes + sizes[k])) & (5 * sizes >= 4 * sizes[k]) & (5 * sizes[k] >= 4 * sizes)
         assert set(tree.near(points[k], int(sizes[k])).tolist()) == set(np.flatnonzero(fits).tolist())
+        pairs = {(k, j) for k in range(300) for j in tree.near(points[k], int(sizes[k])).tolist() if k < j} if k == 0 else pairs
+    assert set(tree.pairs()) == pairs
+    wide = [np.full(jaccard_join.GROUPS, x).astype(t).tobytes() for x, t in ((3, np.uint8), (300, np.uint16), (70_000, np.uint32))]
+    assert jaccard_join._read_points(wide)[:, 0].tolist() == [3, 300, 70_000] and jaccard_join._read_points(wide[:1])[0, 5] == 3
+    assert [len(x) for x in jaccard_join._points(np.zeros(300, np.uint64), np.array([0, 10, 300]))] == [jaccard_join.GROUPS, 2 * jaccard_join.GROUPS]
+    few = jaccard_join.RTree(points[145:155], sizes[145:155])
+    assert {(a + 145, b + 145) for a, b in few.pairs()} == {(a, b) for a, b in pairs if 145 <= a and b < 155}
 
 
 def test_pipeline(spark, tmp_path):
