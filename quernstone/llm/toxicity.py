@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, ship, utf8
+from .common import mix, ship, tidy, utf8
 from .rolling import prefix_hashes, ranges
 
 PLACES, CHOSEN, FOLDS, RIDGE = 1 << 18, 4096, 5, 1.0
@@ -134,7 +134,7 @@ def fit_chain(ids: np.ndarray, rows: np.ndarray, places: np.ndarray, labels: np.
     return chain
 
 
-def learn(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id: str = "doc_id", text: str = "text", max_train: int = 12_000) -> list[Logistic]:
+def learn(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id: str = "doc_id", text: str = "text", max_train: int = 8_000) -> list[Logistic]:
     """The chain, fit on labelled documents."""
     spark = docs.sparkSession
     ship(spark)
@@ -153,15 +153,20 @@ def learn(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id: str
             packed = pa.array([place[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(c) for c in columns), packed], ["id", *columns, "places"])
 
-    found = sample.select("id", *columns, "text").mapInArrow(rows, "id long, " + ", ".join(f"{c} int" for c in columns) + ", places binary").toPandas()
+    found = sample.select("id", *columns, "text").mapInArrow(tidy(rows), "id long, " + ", ".join(f"{c} int" for c in columns) + ", places binary").toPandas()
     found = found.drop_duplicates("id").sort_values("id")
-    places = [np.frombuffer(x, np.int32) for x in found["places"]]
-    of = np.repeat(np.arange(len(places)), [len(p) for p in places])
-    flat = np.concatenate(places).astype(np.int64) if places else np.empty(0, np.int64)
-    return fit_chain(found["id"].to_numpy(), of, flat, found[columns].to_numpy())
-
-
-def predict_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id: str = "doc_id", text: str = "text", max_train: int = 12_000) -> DataFrame:
+    ids, y = found["id"].to_numpy(), found[columns].to_numpy()
+    flat = np.frombuffer(b"".join(found["places"]), np.int32)
+    size = found["places"].str.len().to_numpy(np.int64) // 4
+    del found
+    # Places of fewer than three documents are never chosen, and they are most; they go before anything is fit.
+    frequent = np.bincount(flat, minlength=PLACES) >= 3
+    kept = frequent[flat]
+    of = np.repeat(np.arange(len(ids), dtype=np.int32), size)[kept]
+    return fit_chain(ids, of, flat[kept], y)
+
+
+def predict_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id: str = "doc_id", text: str = "text", max_train: int = 8_000) -> DataFrame:
     """The id of every row and p_<category>, the probability of each category."""
     chain = learn(docs, labels, categories, id, text, max_train)
     # All models share one numbering of the places that any of them chose.
@@ -187,4 +192,4 @@ def predict_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[st
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(p[:, k]) for k in range(len(names)))], ["id", *names])
 
     schema = T.StructType([T.StructField("id", docs.schema[id].dataType), *(T.StructField(c, T.DoubleType()) for c in names)])
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(rows, schema).withColumnRenamed("id", id)
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(tidy(rows), schema).withColumnRenamed("id", id)
