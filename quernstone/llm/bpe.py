@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship, small_file, utf8
+from .common import ship, small_file, tidy, utf8
 
 #: States of the transducer, and distinct pre-tokens, that a worker keeps at once.
-MAX_STATES, MAX_WORDS = 40_000, 400_000
+MAX_STATES, MAX_WORDS = 40_000, 200_000
 #: Pre-tokens of a long text that are handled at once; texts over LONG characters are read so.
 CHUNK, LONG = 200_000, 2_000_000
 
@@ -93,7 +93,7 @@ class Merges:
         """
         if (found := self.pairs.get((left, right))) is not None:
             return found
-        if len(self.pairs) > 1_000_000:
+        if len(self.pairs) > 400_000:
             self.pairs.clear()
         if not self.rising:  # ranks that fall towards the root of a merge tree: ask the merges themselves
             both = self.bytes[left] + self.bytes[right]
@@ -283,18 +283,6 @@ class _Words(dict):
         return ids
 
 
-_codecs: dict[tuple[bytes, str], Codec] = {}
-
-
-def codec_of(raw: bytes, pattern: str) -> Codec:
-    """One codec for each worker process and vocabulary."""
-    key = (hashlib.sha256(raw).digest(), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(raw, pattern)
-    return _codecs[key]
-
-
 OUTPUTS = {
     "ids": T.ArrayType(T.IntegerType(), False),
     "decoded": T.StringType(),
@@ -313,7 +301,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc
     columns, schema = tuple(outputs), T.StructType([T.StructField("id", docs.schema[id].dataType), *(T.StructField(c, OUTPUTS[c]) for c in outputs)])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = codec_of(shared.value, pattern)
+        codec = Codec(shared.value, pattern)
         gc.disable()  # its tables hold no cycles
         for batch in batches:
             for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
@@ -321,7 +309,7 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(rows, schema).withColumnRenamed("id", id)
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(tidy(rows), schema).withColumnRenamed("id", id)
 
 
 def _encoded(codec: Codec, batch: pa.RecordBatch, columns: tuple[str, ...]) -> pa.RecordBatch:

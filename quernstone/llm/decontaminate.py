@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, ship, utf8
+from .common import column, ship, tidy, utf8
 
 #: What is not a word character becomes a space, A-Z become a-z.
 WORDS = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -299,7 +299,7 @@ def _search(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int,
         if held:
             yield flush()
 
-    return docs.mapInArrow(rows, schema)
+    return docs.mapInArrow(tidy(rows), schema)
 
 
 def merge_spans(spans: Column) -> Column:

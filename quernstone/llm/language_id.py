@@ -32,14 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, column, ship, utf8
+from .common import Scratch, column, ship, tidy, utf8
 
 MARK, STRETCH = "▁", 32
 LETTERS = re.compile(r"[^\W\d_]+")
 #: The probability of a character that is no piece, and the count that is added to every piece.
 UNKNOWN, SMOOTH = 1e-7, 0.05
 #: Distinct words that a worker keeps the scores of.
-MAX_WORDS = 400_000
+MAX_WORDS = 200_000
 
 
 def read_pieces(model_path: str) -> list[str]:
@@ -135,7 +135,7 @@ def _count_words(train: DataFrame) -> DataFrame:
             for lang, count in found.items():
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(count), pa.string()), pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["lang", "word", "n"])
 
-    return train.mapInArrow(rows, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return train.mapInArrow(tidy(rows), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame, pieces: list[str], id: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = 40_000, rounds: int = 2) -> dict[str, np.ndarray]:
@@ -167,7 +167,7 @@ def learn(docs: DataFrame, pieces: list[str], id: str = "doc_id", text: str = "t
                 at = np.flatnonzero(got)
                 yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(got[at])], ["lang", "piece", "n"])
 
-        found = counts.mapInArrow(expect, "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
+        found = counts.mapInArrow(tidy(expect), "lang string, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         shared.unpersist()
         model = {}
         for x in langs:
@@ -228,12 +228,12 @@ def identify(docs: DataFrame, pieces: list[str], model: dict[str, np.ndarray], t
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(*shared.value)
-        for batch in (b.slice(k, 1000) for b in batches for k in range(0, b.num_rows, 1000)):
+        for batch in (b.slice(k, 300) for b in batches for k in range(0, b.num_rows, 300)):
             langs, scores = scorer.texts([t.decode("utf-8", "replace") for t in utf8(batch.column("__text"))])
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*columns, "lang_pred", "score"])
 
     schema = T.StructType([*(base.schema[c] for c in columns), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return base.mapInArrow(rows, schema)
+    return base.mapInArrow(tidy(rows), schema)
 
 
 def predict_languages(docs: DataFrame, model_path: str, id: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = 40_000) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, ship, tidy
 
 #: Vectors of the sample, its neighbours for the graph, hidden units, and rows or queries in a slice.
 SAMPLE, DEGREE, HIDDEN, SLICE_ROWS, SLICE_QUERIES = 8_000, 10, 128, 25_000, 5_000
@@ -157,7 +157,7 @@ def _usable(vectors: DataFrame, id: str, vector: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(good)), pa.array([x.tobytes() for x in found], pa.binary()), pa.array([len(x) for x in found], pa.int32())], ["id", "v", "dim"])
 
     base = vectors.select(F.col(id).cast("long").alias("id"), F.col(vector).alias("v")).filter("id is not null and v is not null")
-    return base.mapInArrow(rows, "id long, v binary, dim int")
+    return base.mapInArrow(tidy(rows), "id long, v binary, dim int")
 
 
 def _rank(k: int) -> object:
@@ -233,7 +233,7 @@ def search(vectors: DataFrame, queries: str, id: str = "vec_id", vector: str = "
                 order = np.argsort(-router(np.frombuffer(b"".join(batch.column("v").to_pylist())).reshape(m, -1)), 1, kind="stable")[:, :probes].astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(order[:, 0]), pa.array(list(order), pa.list_(pa.int32()))], ["id", "v", "part", "visits"])
 
-    placed = scratch.keep(base.select("id", "v").mapInArrow(rows, "id long, v binary, part int, visits array<int>"))
+    placed = scratch.keep(base.select("id", "v").mapInArrow(tidy(rows), "id long, v binary, part int, visits array<int>"))
     asked = placed.withColumnRenamed("id", id).filter(queries).withColumnRenamed(id, "id").select("id", "v", F.explode("visits").alias("part"))
     # A row for each partition: in how many slices its rows and its queries are shared out.
     slices = (
@@ -252,6 +252,6 @@ def search(vectors: DataFrame, queries: str, id: str = "vec_id", vector: str = "
     data = placed.select("id", "v", "part").join(slices, "part").withColumn("ds", cut("nd")).withColumn("qs", every("nq")).withColumn("side", F.lit(1))
     ask = asked.join(slices, "part").withColumn("qs", cut("nq")).withColumn("ds", every("nd")).withColumn("side", F.lit(0))
     both = ask.select(columns).union(data.select(columns))
-    found = both.repartition("part", "ds", "qs").sortWithinPartitions("part", "ds", "qs", "side").mapInArrow(_rank(k), "query_id long, vec_id long, score double")
+    found = both.repartition("part", "ds", "qs").sortWithinPartitions("part", "ds", "qs", "side").mapInArrow(tidy(_rank(k)), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

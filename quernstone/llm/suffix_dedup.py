@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix, ship, utf8
+from .common import Scratch, mix, ship, tidy, utf8
 from .rolling import prefix_hashes, ranges
 
 GRAM = 24
@@ -405,15 +405,15 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, -(-int(size) // (40 * TASK_ROWS)))
 
-    dealt = docs.select("id", "variant", "text").mapInArrow(_deal(length, parts), "part int, packed binary")
+    dealt = docs.select("id", "variant", "text").mapInArrow(tidy(_deal(length, parts)), "part int, packed binary")
     where = F.when(F.col("part") >= 0, F.col("part")).otherwise(F.pmod(F.xxhash64("packed"), F.lit(parts)).cast("int"))
-    found = scratch.keep(dealt.repartition(parts, where).mapInArrow(_match, _FOUND))
+    found = scratch.keep(dealt.repartition(parts, where).mapInArrow(tidy(_match), _FOUND))
     whole = found.filter("key is null").select("id", F.array(F.struct("pos", "n")).alias("spans"))
     unclear = found.filter("key is not null")
     want = unclear.groupBy("id").agg(F.collect_list(F.struct("pos", (F.col("n") + length - 1).cast("int").alias("size"), "key", "parts")).alias("want"))
     cut = docs.join(want.withColumnRenamed("id", "w"), F.col("id") == F.col("w")).select("id", "variant", "text", "want")
-    cut = cut.mapInArrow(_cut, "key long, of int, parts int, id long, pos long, bytes binary")
-    spans = cut.repartition("key", "of").sortWithinPartitions("key", "of").mapInArrow(_sort(length), "id long, spans array<struct<pos:long,n:long>>")
+    cut = cut.mapInArrow(tidy(_cut), "key long, of int, parts int, id long, pos long, bytes binary")
+    spans = cut.repartition("key", "of").sortWithinPartitions("key", "of").mapInArrow(tidy(_sort(length)), "id long, spans array<struct<pos:long,n:long>>")
     both = scratch.keep(whole.union(spans).groupBy("id").agg(F.flatten(F.collect_list("spans")).alias("spans")).withColumnRenamed("id", "s"))
     out = docs.join(both, F.col("id") == F.col("s"), "left").select("row_id", "variant", "text", "spans")
-    return out.mapInArrow(_remove(length), "row_id long, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("row_id", id)
+    return out.mapInArrow(tidy(_remove(length)), "row_id long, kept binary, n_bytes long, n_removed long, n_spans long").withColumnRenamed("row_id", id)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import CHUNK, LONG, read_ranks
-from .common import ship, small_file, utf8
+from .common import ship, small_file, tidy, utf8
 
 #: Nodes that a trie may have before a new one is begun.
 MAX_NODES = 1_500_000
@@ -115,7 +115,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["id", "n_pretokens", "n_tokens", "score"])
 
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(rows, schema).withColumnRenamed("id", id)
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(tidy(rows), schema).withColumnRenamed("id", id)
 
 
 def _parts(split: object, text: str) -> Iterator[list[str]]:
