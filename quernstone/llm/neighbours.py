@@ -13,7 +13,8 @@ the ten best for each of its queries and a window over these picks the ten best
 
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite
 components take no part, neither do rows without id. Equal distances go to the smaller id; rows that repeat an id are candidates of their own, but
-for a query's own id. With fewer candidates than asked, all that were found come. An empty table, or
+for a query's own id. A table of under ``EACH * LEAST`` usable vectors, or with under ``2 * EACH`` different
+ones, is one partition and ranked exactly. With fewer candidates than asked, all that were found come. An empty table, or
 one without queries, gives an empty table.
 """
 
@@ -28,8 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ship, tidy
 
-#: Vectors of the sample, its neighbours for the graph, hidden units, and rows or queries in a slice.
+#: Least vectors of the sample, its neighbours for the graph, hidden units, and rows or queries in a slice.
 SAMPLE, DEGREE, HIDDEN, SLICE_ROWS, SLICE_QUERIES = 8_000, 10, 128, 25_000, 5_000
+#: Different sample vectors that a partition needs, and those that are drawn for it: the sample grows with the
+#: partitions, to about ``DRAWN * MOST`` vectors.
+EACH, DRAWN = 64, 96
 #: Rows that a partition should have, and the least and most partitions.
 PART_ROWS, LEAST, MOST = 4_000, 16, 256
 
@@ -37,11 +41,12 @@ PART_ROWS, LEAST, MOST = 4_000, 16, 256
 def nearest(x: np.ndarray, y: np.ndarray, k: int, same: bool = False) -> np.ndarray:
     """The k nearest rows of y for each row of x, in blocks."""
     out, norms = [], (y**2).sum(1)
-    for a in range(0, len(x), 1000):
-        d = norms - 2 * x[a : a + 1000] @ y.T
+    block = max(1, 6_000_000 // max(1, len(y)))
+    for a in range(0, len(x), block):
+        d = norms - 2 * x[a : a + block] @ y.T
         if same:
             d[np.arange(len(d)), np.arange(a, a + len(d))] = np.inf
-        out.append(np.argpartition(d, min(k, len(y) - 1), 1)[:, :k] if len(y) > k else np.tile(np.arange(len(y)), (len(d), 1)))
+        out.append(np.argpartition(d, min(k, len(y) - 1), 1)[:, :k].copy() if len(y) > k else np.tile(np.arange(len(y)), (len(d), 1)))
     return np.concatenate(out)
 
 
@@ -205,6 +210,11 @@ def _rank(k: int) -> object:
     return rows
 
 
+def _power(n: int) -> int:
+    """The largest power of two up to n, at least 1."""
+    return 1 << max(1, n).bit_length() - 1
+
+
 def search(vectors: DataFrame, queries: str, id: str = "vec_id", vector: str = "embedding", k: int = 10, target: float = 0.97) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for the rows that the SQL condition
     ``queries`` (over the column ``id``) picks, against all rows."""
@@ -217,11 +227,17 @@ def search(vectors: DataFrame, queries: str, id: str = "vec_id", vector: str = "
     if not dims:
         return empty
     base = base.filter(F.col("dim") == dims[0]["dim"])
-    n = base.count()
-    share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1, SAMPLE / n)) + 1)
-    sample = np.unique(np.stack([np.frombuffer(r["v"]) for r in base.filter(share).limit(2 * SAMPLE).collect()] or [np.zeros(dims[0]["dim"])]), axis=0)
-    parts = 1 << int(np.clip(n // PART_ROWS, LEAST, MOST)).bit_length() - 1
-    router, probes = learn(sample, parts, k, target) if len(sample) >= 64 * parts else (None, 1)
+    size = base.agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v", 0.02).alias("different")).first()
+    n, parts = size["n"], _power(int(np.clip(size["n"] // PART_ROWS, LEAST, MOST)))
+    router, probes = None, 1
+    if n >= EACH * LEAST:
+        # Drawn by a hash of the vector, so copies count once.
+        most = max(SAMPLE, DRAWN * parts)
+        share = F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1, most / size["different"])) + 1)
+        sample = np.unique(np.stack([np.frombuffer(r["v"]) for r in base.filter(share).select("v").distinct().limit(2 * most).collect()] or [np.zeros(dims[0]["dim"])]), axis=0)
+        parts = min(parts, _power(len(sample) // EACH))
+        if parts > 1:
+            router, probes = learn(sample, parts, k, target)
     shared = spark.sparkContext.broadcast((router, probes))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,10 +247,12 @@ def search(vectors: DataFrame, queries: str, id: str = "vec_id", vector: str = "
             order = np.zeros((m, 1), np.int32)
             if router is not None and m:
                 order = np.argsort(-router(np.frombuffer(b"".join(batch.column("v").to_pylist())).reshape(m, -1)), 1, kind="stable")[:, :probes].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(order[:, 0]), pa.array(list(order), pa.list_(pa.int32()))], ["id", "v", "part", "visits"])
+            visits = [x if asks else None for x, asks in zip(order, batch.column("asks").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(order[:, 0]), pa.array(visits, pa.list_(pa.int32()))], ["id", "v", "part", "visits"])
 
-    placed = scratch.keep(base.select("id", "v").mapInArrow(tidy(rows), "id long, v binary, part int, visits array<int>"))
-    asked = placed.withColumnRenamed("id", id).filter(queries).withColumnRenamed(id, "id").select("id", "v", F.explode("visits").alias("part"))
+    marked = base.select(F.col("id").alias(id), "v").withColumn("asks", F.expr(queries)).withColumnRenamed(id, "id")
+    placed = scratch.keep(marked.mapInArrow(tidy(rows), "id long, v binary, part int, visits array<int>"))
+    asked = placed.select("id", "v", F.explode("visits").alias("part"))
     # A row for each partition: in how many slices its rows and its queries are shared out.
     slices = (
         placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int").alias("nd"))

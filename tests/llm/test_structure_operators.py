@@ -92,6 +92,27 @@ def test_recall(spark, monkeypatch):
     assert hit >= 0.9 * 400
 
 
+@pytest.mark.parametrize("copies,parts", [(1, 256), (13, 16)])
+def test_the_router_runs_at_most_partitions(spark, monkeypatch, copies, parts):
+    rng, n, asked = np.random.default_rng(3), 26_000, []
+    centres = rng.standard_normal((200, 8)) * 2
+    x = np.tile(centres[rng.integers(0, 200, n // copies)] + rng.standard_normal((n // copies, 8)), (copies, 1))
+    learn = neighbours.learn
+    monkeypatch.setattr(neighbours, "PART_ROWS", 100)
+    monkeypatch.setattr(neighbours, "learn", lambda x, parts, *a: asked.append((len(x), parts)) or learn(x, parts, *a))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in neighbours.search(df, "vec_id % 400 = 0").collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert [p for _, p in asked] == [parts] and asked[0][0] >= neighbours.EACH * parts
+    hit = 0
+    for q in range(0, n, 400):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        hit += len(set(np.lexsort((np.arange(n), d))[:10].tolist()) & got[q])
+    assert hit >= 0.9 * 10 * len(got) and len(got) == 65
+
+
 def test_partitions_are_balanced():
     x = np.random.default_rng(2).standard_normal((800, 8))
     part = neighbours.partition_graph(neighbours.nearest(x, x, 8, True), 16)
