@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import repair_operators, strip_distinct
 from .execute import row_json
 
-#: Column orders that are tried before two results count as different.
-MOST_ORDERS = 5040
-
 
 def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows (as JSON) whose number differs, with n_left and n_right. One shuffle of partial counts."""
@@ -53,8 +48,26 @@ def _fingerprints(df: DataFrame) -> list[tuple]:
     return [(row[f"s_{c}"], row[f"n_{c}"]) for c in df.columns]
 
 
+def _alike(df: DataFrame, choices: list[list[int]]) -> dict[int, int]:
+    """For each column of df the first one that holds the same in every row; only columns that are choices
+    for one place are compared."""
+    pairs = sorted({(i, j) for found in choices for i in found for j in found if i < j})
+    kind = {j: j for j in range(len(df.columns))}
+    if pairs:
+        row = df.agg(*(F.count_if(~F.col(f"c{i}").eqNullSafe(F.col(f"c{j}"))).alias(f"d{n}") for n, (i, j) in enumerate(pairs))).first()
+        for n, (i, j) in enumerate(pairs):
+            if not row[f"d{n}"]:
+                kind[j] = min(kind[j], kind[i])
+    return kind
+
+
 def compatible_equal(left: DataFrame, right: DataFrame, ordered: bool = False) -> bool:
-    """Equal under one order of the columns. Two empty results are equal whatever their columns."""
+    """Equal under one order of the columns. Two empty results are equal whatever their columns.
+
+    The search backtracks over columns not yet used, the place with the fewest choices first. Of columns
+    that hold the same in every row one is tried, and an order is given up as soon as the columns chosen
+    so far differ as results of their own. There is no cap.
+    """
     n, m = left.count(), right.count()
     if n == 0 and m == 0:
         return True
@@ -65,12 +78,24 @@ def compatible_equal(left: DataFrame, right: DataFrame, ordered: bool = False) -
     if sorted(map(str, fa)) != sorted(map(str, fb)):
         return False
     choices = [[j for j, y in enumerate(fb) if y == x] for x in fa]
-    for tried, order in enumerate(product(*choices)):
-        if tried >= MOST_ORDERS:
-            break
-        if len(set(order)) == len(order) and strict_equal(a, b.select(*(F.col(f"c{j}").alias(f"c{k}") for k, j in enumerate(order))), ordered):
-            return True
-    return False
+    places = sorted(range(len(choices)), key=lambda k: len(choices[k]))
+    kind = _alike(b, choices)
+
+    def fit(order: list[int]) -> bool:
+        x, y = ([F.col(f"c{j}").alias(f"c{k}") for k, j in enumerate(js)] for js in (places[: len(order)], order))
+        return strict_equal(a.select(*x), b.select(*y), ordered)
+
+    def search(order: list[int]) -> bool:
+        if len(order) == len(places):
+            return fit(order)
+        found = {kind[j]: j for j in choices[places[len(order)]] if j not in order}.values()
+        for j in found:
+            longer = [*order, j]
+            if (len(found) == 1 or len(longer) == len(places) or fit(longer)) and search(longer):
+                return True
+        return False
+
+    return search([])
 
 
 def prepare_compatible(sql: Column) -> Column:

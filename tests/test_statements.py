@@ -75,6 +75,21 @@ def test_comparison(db):
     assert execute.result_signature(by_id) == execute.result_signature(by_name) != execute.result_signature(a)
 
 
+def test_comparison_has_no_cap_on_column_orders(db):
+    q = db.sql
+    same = q("SELECT " + ", ".join(f"id % 3 AS x{k}" for k in range(7)) + " FROM range(6)")
+    nulls = q("SELECT " + ", ".join(f"CAST(NULL AS INT) AS x{k}" for k in range(7)))
+    pairs = q("SELECT " + ", ".join(f"id * {k // 2 + 1} AS x{k}" for k in range(14)) + " FROM range(4)")
+    for x in (same, nulls, pairs):
+        assert compare.compatible_equal(x, x.select(*reversed(x.columns)))
+    assert compare.compatible_equal(same, same, ordered=True)
+    # Seven columns of equal bags, all of them different; then one of them is swapped in two rows.
+    turned = q("SELECT " + ", ".join(f"(id + {k * k}) % 29 AS x{k}" for k in range(7)) + " FROM range(29)")
+    assert compare.compatible_equal(turned, turned.select(*(f"x{k}" for k in (3, 6, 0, 5, 1, 4, 2))))
+    other = q("SELECT " + ", ".join(f"(CASE id WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE id END + {k * k}) % 29 AS x{k}" if k == 4 else f"(id + {k * k}) % 29 AS x{k}" for k in range(7)) + " FROM range(29)")
+    assert not compare.compatible_equal(turned, other)
+
+
 def one(spark, column, **values):
     row = spark.createDataFrame([tuple(values.values())], list(values))
     return row.select(column).first()[0]
