@@ -443,17 +443,39 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
             links = scratch.keep(links.union(found))
             labels = components(links, scratch)
     scratch.drop(buckets, large, pairs, more)
+    repeated = rows.filter("id is not null").groupBy("id").agg(F.min("c").alias("c"), F.max("c").alias("d")).filter("c <> d").select(F.col("id").alias("twice"))
+    several = bool(repeated.limit(1).count())
+    if several:  # the texts of one id are one document
+        texts = rows.filter("n > 0").join(repeated, F.col("id") == F.col("twice")).select("id", "c", "n").distinct()
+        reps = scratch.keep(texts.join(classes, ["c", "n"]).select("id", "rep").distinct())
+        own = reps.groupBy("id").agg(F.min("rep").alias("a")).join(reps, "id").filter("a <> rep").select("a", F.col("rep").alias("b"))
+        labels = components(links.union(own), scratch)
     named = classes.join(labels, F.col("rep") == labels["node"], "left").select(F.col("c").alias("kc"), F.col("n").alias("kn"), F.coalesce("label", "rep").alias("component"))
     out = rows.select("id", "c", "n").join(named, (F.col("c") == F.col("kc")) & (F.col("n") == F.col("kn")), "left")
+    if several:  # also those without words
+        least = out.join(repeated, F.col("id") == F.col("twice")).groupBy("twice").agg(F.min("component").alias("least"))
+        out = out.join(least, F.col("id") == F.col("twice"), "left").withColumn("component", F.coalesce("least", "component"))
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component stays, with all its columns: that of the smallest id. Rows without id stay."""
-    groups = similar_groups(docs, id, text).toDF("__id", "__n", "__component")
-    stay = groups.filter("__id = __component").select(F.col("__id").alias("__stay")).distinct()
+    """One row of each component of texts stays, with all its columns: that of the smallest id, of several texts
+    of that id the one of the least hash. Rows without id stay."""
     names = [f"__c{n}" for n in range(len(docs.columns))]
-    own = docs.select(column(id).cast("long").alias("__id"), *(column(c).alias(k) for c, k in zip(docs.columns, names, strict=True)))
-    kept = own.join(stay, F.col("__id") == F.col("__stay"), "left_semi").dropDuplicates(["__id"])
+    own = docs.select(column(id).cast("long").alias("__id"), F.xxhash64(column(text)).alias("__hash"), *(column(c).alias(k) for c, k in zip(docs.columns, names, strict=True)))
+    texts = own.filter("__id is not null").groupBy("__id").agg(F.min("__hash").alias("least"), F.max("__hash").alias("most"))
+    if texts.filter("least <> most").limit(1).count():
+        # Each text of an id is a document of its own here, or one text would go with the near copies of another.
+        own = own.withColumn("__key", F.when(F.col("__id").isNotNull(), F.xxhash64("__id", "__hash")))
+        shown = own.select("__key", F.col(names[docs.columns.index(text)]).alias("__text"))
+        groups = similar_groups(shown, "__key", "__text").toDF("__stay", "__n", "__component").filter("__stay is not null").distinct()
+        keys = own.select("__key", "__id", "__hash").filter("__key is not null").distinct()
+        first = F.min_by("__stay", F.struct("__id", "__hash")).alias("__stay")
+        stay = groups.join(keys, F.col("__stay") == F.col("__key")).groupBy("__component").agg(first).select("__stay")
+    else:
+        own = own.withColumn("__key", F.col("__id"))
+        groups = similar_groups(docs, id, text).toDF("__id", "__n", "__component")
+        stay = groups.filter("__id = __component").select(F.col("__id").alias("__stay")).distinct()
+    kept = own.join(stay, F.col("__key") == F.col("__stay"), "left_semi").dropDuplicates(["__key"])
     return kept.unionByName(own.filter("__id is null")).select(*(F.col(k).alias(c) for c, k in zip(docs.columns, names, strict=True)))

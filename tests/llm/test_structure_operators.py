@@ -251,6 +251,16 @@ def test_components_of_untidy_tables(spark):
     assert jaccard_join.similar_groups(df.limit(0)).count() == 0
 
 
+def test_texts_of_one_id(spark):
+    a, q, r = "a b c d e f", "q r s t u", "v w x y z"
+    rows = [(3, a), (5, a), (5, q), (9, q), (7, r), (7, "one two"), (7, r), (8, r.upper()), (6, ""), (6, q), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    groups = {(x.doc_id, x.component_id) for x in jaccard_join.similar_groups(df).collect()}
+    assert groups == {(3, 3), (5, 3), (9, 3), (6, 3), (7, 7), (8, 7), (None, None)}
+    kept = sorted(((x.doc_id or -1, x.text) for x in jaccard_join.keep_one_of_each(df).collect()))
+    assert kept == sorted([(-1, a), (3, a), (5, q), (6, ""), (7, r), (7, "one two")])
+
+
 def test_label_propagation(spark):
     rng = random.Random(1)
     links = [(k, k + 1) for k in range(40)] + [(100 + rng.randrange(30), 100 + rng.randrange(30)) for _ in range(40)]
