@@ -319,7 +319,7 @@ def _sort(length: int) -> object:
         """The spans that repeat, a row for each segment; rows come sorted by key and part, and are sorted in
         blocks of whole groups."""
         held: list[tuple] = []
-        size, before = 0, None
+        size, before, places = 0, None, set()
 
         def flush() -> pa.RecordBatch:
             held.sort(key=lambda r: (r[0], r[1], r[3], r[4]))
@@ -352,7 +352,12 @@ def _sort(length: int) -> object:
                 if size >= PART_SUFFIXES and r[:2] != before:
                     yield flush()
                     size = 0
-                before = r[:2]
+                if r[:2] != before:
+                    before = r[:2]
+                    places.clear()
+                if r[3:5] in places:  # a row that repeats is one document
+                    continue
+                places.add(r[3:5])
                 held.append(r)
                 size += (len(r[5]) - length + 1) // r[2] + 1
         if held:

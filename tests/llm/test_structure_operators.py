@@ -189,6 +189,18 @@ def test_repeats_of_untidy_ids(spark):
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_repeated_rows_are_one_document(spark, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(suffix_dedup, "PART_SUFFIXES", 40)
+    rng = random.Random(5)
+    noise = ["".join(rng.choice("abcdefgh ") for _ in range(150)) for _ in range(8)]
+    rows = [(1, noise[0] + noise[1]), (2, noise[1][:100] + noise[2]), (3, noise[3] + noise[2][40:] + noise[1]), (4, "ab" * 100), (5, noise[4])]
+    df = spark.createDataFrame([*rows, *rows[:4], rows[0]], "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(df, length=60).collect()}
+    assert got == {(i, *x) for i, x in brute_repeats(rows, 60).items()}
+
+
 def shingles(text):
     words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode().translate(rolling._LOWER))
     return frozenset(tuple(words[k : k + 5]) for k in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)] if words else [])
