@@ -8,8 +8,8 @@ probability under equal priors.
 
 The probabilities are learned by expectation-maximisation: expected piece counts under the present
 probabilities (forward-backward), summed by language, smoothed and normalised. This classifier is fit
-on a bounded sample, ``max_train`` labelled documents or all if fewer, chosen by a hash of the id. The
-sample's words are counted by language with a shuffle that sums before it sends; only piece counts,
+on a bounded sample, ``max_train`` labelled documents or all if fewer, chosen by a hash of the id in
+equal parts from the languages; those with fewer documents than their part give all. The sample's words are counted by language with a shuffle that sums before it sends; only piece counts,
 the vocabulary's size for each language, reach the driver.
 
 Words are runs of letters, lower-cased, with the vocabulary's word mark before them; a run of over
@@ -138,14 +138,27 @@ def _count_words(train: DataFrame) -> DataFrame:
     return train.mapInArrow(tidy(rows), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
+def fair_quota(sizes: list[int], total: int) -> int:
+    """The most rows that each language may give so that all together give about ``total``; small ones give all."""
+    sizes = sorted(sizes)
+    for k, n in enumerate(sizes):
+        each = total // (len(sizes) - k)
+        if n > each:
+            return max(1, each)
+        total -= n
+    return sizes[-1] if sizes else 0
+
+
 def learn(docs: DataFrame, pieces: list[str], id: str = "doc_id", text: str = "text", lang: str = "lang", max_train: int = 40_000, rounds: int = 2) -> dict[str, np.ndarray]:
     """The piece probabilities of each language, learned from documents that aren't held out."""
     spark = docs.sparkSession
     ship(spark)
     train = docs.select(F.col(id).alias("id"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).filter(~held_out(F.col("id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = train.select("id").count()
-    if n > max_train:
-        train = train.filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 20)) < F.lit(int((1 << 20) * max_train / n)))
+    sizes = {r["lang"]: r["n"] for r in train.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if sum(sizes.values()) > max_train:
+        each = fair_quota(list(sizes.values()), max_train)
+        below = spark.createDataFrame([(x, int((1 << 40) * min(1, each / n))) for x, n in sizes.items()], "of string, below long")
+        train = train.join(F.broadcast(below), F.col("lang") == F.col("of")).filter(F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 40)) < F.col("below"))
     scratch = Scratch(spark, "language")
     counts = scratch.keep(_count_words(train.select("lang", "text")))
     langs = sorted(r["lang"] for r in counts.select("lang").distinct().collect())

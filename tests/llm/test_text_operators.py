@@ -272,3 +272,15 @@ def test_toxicity(spark, docs, empty):
 
 def test_word_pattern():
     assert re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower("Ab-C9 é_d")) == [w.decode() for w in decontaminate.words_of("Ab-C9 é_d".encode())]
+
+
+def test_a_rare_language_is_learned(spark, monkeypatch):
+    assert language_id.fair_quota([5, 1000, 3000], 405) == 200 and language_id.fair_quota([5, 7], 40) == 7
+    rows = [(k, "the house and the boat", "en") for k in range(3000)] + [(5000 + k, "rue petite maison", "fr") for k in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    met = []
+    count = language_id._count_words
+    monkeypatch.setattr(language_id, "_count_words", lambda train: met.append({r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}) or count(train))
+    model = language_id.learn(df, ["\u2581the", "\u2581rue", "e", "t", "h"], max_train=60)
+    rare = df.filter("lang = 'fr'").filter(~language_id.held_out(F.col("doc_id"))).count()
+    assert set(model) == {"en", "fr"} and met[0]["fr"] == rare and 20 < met[0]["en"] < 100
