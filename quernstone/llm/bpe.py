@@ -8,7 +8,9 @@ read that can still grow into a token, and the last tokens of the prefixes that
 byte leads to the next state; as soon as all open prefixes agree on their first tokens, these are
 emitted, so the lookahead is bounded by the open part. States and transitions are made when first
 met and kept in a table. Once it holds ``MAX_STATES`` states, a piece that leaves the table is read to
-its end with its open prefixes in a list, by the same steps and with the same result.
+its end with its open prefixes in a list, by the same steps and with the same result. A worker keeps one
+machine for all its tasks, and the ids of pre-tokens in two generations of bounded size: what is asked
+for again moves to the young one, and the old one is dropped when the young one is full.
 
 Decoding joins the bytes of the ids and feeds them to an incremental UTF-8 state machine, so that a
 character cut between two chunks is held back until it is whole.
@@ -27,15 +29,18 @@ import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import ship, small_file, tidy, utf8
+from .common import resident, ship, slices, small_file, tidy
 
-#: States of the transducer, and distinct pre-tokens, that a worker keeps at once.
+#: States of the transducer, and pre-tokens in a generation, that a worker keeps at once.
 MAX_STATES, MAX_WORDS = 40_000, 200_000
+#: Pairs of tokens of which it is kept whether they may stand side by side.
+MAX_PAIRS = 400_000
 #: Pre-tokens of a long text that are handled at once; texts over LONG characters are read so.
 CHUNK, LONG = 200_000, 2_000_000
 
@@ -56,7 +61,9 @@ class Merges:
         self._first: dict[int, list[int]] = {}
         self._last: dict[int, list[int]] = {}
         self.rising = True
-        self.pairs: dict[tuple[int, int], bool] = {}
+        # Of a right token the left ones met, and whether the two may stand side by side; -1 is no token.
+        self.pairs: dict[int, dict[int, bool]] = {}
+        self.n_pairs = 0
         self.size = [len(self.bytes.get(i, b"")) for i in range(max(self.bytes, default=0) + 1)]
 
     def reduce(self, parts: list[bytes], stop: int = 1) -> list[bytes]:
@@ -91,10 +98,14 @@ class Merges:
         Follows the tokens at the border from single bytes upwards: left's last parts and right's
         first parts grow in the order of ranks, unless a merge across the border comes before.
         """
-        if (found := self.pairs.get((left, right))) is not None:
+        fits = self.fits(right)
+        if (found := fits.get(left)) is not None:
             return found
-        if len(self.pairs) > 400_000:
-            self.pairs.clear()
+        if self.n_pairs > MAX_PAIRS:
+            for known in self.pairs.values():
+                known.clear()
+                known[-1] = True
+            self.n_pairs = 0
         if not self.rising:  # ranks that fall towards the root of a merge tree: ask the merges themselves
             both = self.bytes[left] + self.bytes[right]
             found = self.reduce([both[k : k + 1] for k in range(len(both))]) == [self.bytes[left], self.bytes[right]]
@@ -115,9 +126,13 @@ class Merges:
                     i += 1
                 else:
                     j += 1
-        self.pairs[left, right] = found
+        fits[left] = found
+        self.n_pairs += 1
         return found
 
+    def fits(self, right: int) -> dict[int, bool]:
+        return self.pairs.setdefault(right, {-1: True})
+
 
 class Transducer:
     """The machine. A state is (tail, nodes): the open suffix, and for each open prefix, by its distance
@@ -128,12 +143,15 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.states: list[tuple[bytes, tuple[tuple[int, int], ...]]] = []
+        self.states: list[tuple[int, tuple[tuple[int, int], ...], int]] = []
         self.number: dict[tuple, int] = {}
         self.steps: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.grown: dict[tuple[bytes, int], tuple[bytes, list[tuple[int, int]]]] = {}
+        # Open suffixes by number: their bytes, and for a next byte the suffix after it and the tokens that end
+        # there, the longest first: (bytes, token, which left neighbours fit).
+        self.tails, self.tail_number = [b""], {b"": 0}
+        self.grown: list[dict[int, tuple[int, list[tuple[int, int, dict[int, bool]]]]]] = [{}]
         self.ends: list[tuple[int, ...] | None] = []
-        self.start = self._state((b"", ((0, -1),), -1))
+        self.start = self._state((0, ((0, -1),), -1))
 
     def _state(self, key: tuple) -> int:
         if (n := self.number.get(key)) is None:
@@ -143,25 +161,29 @@ class Transducer:
             self.ends.append(None)
         return n
 
-    def _grow(self, tail: bytes, byte: int) -> tuple[bytes, list[tuple[int, int]]]:
+    def _grow(self, tail: int, byte: int) -> tuple[int, list[tuple[int, int, dict[int, bool]]]]:
         """The open suffix after one more byte, and the tokens that end there, the longest first."""
-        m, grown = self.merges, tail + bytes((byte,))
+        m, grown = self.merges, self.tails[tail] + bytes((byte,))
         while grown not in m.prefixes:
             grown = grown[1:]
-        ends = [(len(grown) - k, token) for k in range(len(grown)) if (token := m.ranks.get(grown[k:])) is not None and m.own(token)]
-        found = self.grown[tail, byte] = (grown, ends)
+        ends = [(len(grown) - k, token, m.fits(token)) for k in range(len(grown)) if (token := m.ranks.get(grown[k:])) is not None and m.own(token)]
+        if (n := self.tail_number.get(grown)) is None:
+            n = self.tail_number[grown] = len(self.tails)
+            self.tails.append(grown)
+            self.grown.append({})
+        found = self.grown[tail][byte] = (n, ends)
         return found
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         """key = (tail, nodes, before): before is the token last emitted, the neighbour of the next one."""
         m, (tail, nodes, before) = self.merges, self.states[state]
-        tail, ends = self.grown.get((tail, byte)) or self._grow(tail, byte)
+        tail, ends = self.grown[tail].get(byte) or self._grow(tail, byte)
         last = {d + 1: t for d, t in nodes}
-        root, length, size, pairs = nodes[-1][0] + 1, len(tail), m.size, m.pairs
-        for n, token in ends:
+        root, length, size = nodes[-1][0] + 1, len(self.tails[tail]), m.size
+        for n, token, fits in ends:
             if n in last:
                 left = before if n == root else last[n]
-                if left < 0 or (fits := pairs.get((left, token))) or (fits is None and m.adjacent(left, token)):
+                if (ok := fits.get(left)) or (ok is None and m.adjacent(left, token)):
                     last[0] = token
                     break
         # What is still open: the prefixes that a token ending later can start from, and their paths.
@@ -212,27 +234,34 @@ class Transducer:
     def _follow(self, state: int, piece: bytes, at: int) -> list[int]:
         """The rest of a piece from a state on, with the open prefixes in a list instead of new states."""
         m, (tail, nodes, before) = self.merges, self.states[state]
-        root, grown, pairs, size = nodes[-1][0], self.grown, m.pairs, m.size
+        root, grown, size, adjacent = nodes[-1][0], self.grown, m.size, m.adjacent
         last: list[int | None] = [None] * (root + 1)
         last[0] = before
         for d, token in nodes[:-1]:
             last[root - d] = token
-        for k in range(at, len(piece)):
-            byte = piece[k]
-            tail, ends = grown.get((tail, byte)) or self._grow(tail, byte)
-            here, end = None, len(last)
-            for n, token in ends:
-                if n <= end and (left := last[end - n]) is not None and (left < 0 or (fits := pairs.get((left, token))) or (fits is None and m.adjacent(left, token))):
-                    here = token
-                    break
-            last.append(here)
-        out, p = [], len(last) - 1
+        end, add = root, last.append
+        for byte in piece[at:]:
+            tail, ends = grown[tail].get(byte) or self._grow(tail, byte)
+            end += 1
+            here = None
+            for n, token, fits in ends:
+                if n <= end and (left := last[end - n]) is not None:
+                    if (ok := fits.get(left)) is None:
+                        ok = adjacent(left, token)
+                    if ok:
+                        here = token
+                        break
+            add(here)
+        out, p = [], end
         while p > 0:
             out.append(last[p])
             p -= size[last[p]]
         return out[::-1]
 
 
+_IDS, _DECIMAL = itemgetter(0), itemgetter(1)
+
+
 class Codec:
     """Encodes texts to ids and decodes ids to texts."""
 
@@ -243,20 +272,26 @@ class Codec:
         self.ranks, self.machine = ranks, Transducer(Merges(ranks))
         self.split = regex.compile(pattern)
         self.token = self.machine.merges.bytes
-        self.decimal = {i: str(i) for i in self.token}
         self.words = _Words(self)
 
-    def chunks(self, text: str) -> Iterator[list[int]]:
-        """The ids of a text, a chunk of pre-tokens at a time."""
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
-        get = self.words.__getitem__
+    def words_of(self, text: str) -> Iterator[list[str]]:
+        """The pre-tokens of a text; those of a long one a chunk at a time."""
         if len(text) <= LONG:
-            yield list(chain.from_iterable(map(get, self.split.findall(text))))
+            yield self.split.findall(text)
             return
         found = (x.group() for x in self.split.finditer(text))
         while part := list(islice(found, CHUNK)):
-            yield list(chain.from_iterable(map(get, part)))
+            yield part
+
+    def coded(self, text: str) -> Iterator[tuple[list[int], str]]:
+        """The ids of each chunk of a text, and the same in decimal, joined by commas."""
+        for words in self.words_of(text):
+            found = list(map(self.words.__getitem__, words))
+            yield list(chain.from_iterable(map(_IDS, found))), ",".join(map(_DECIMAL, found))
+            self.words.age()
+
+    def chunks(self, text: str) -> Iterator[list[int]]:
+        return (ids for ids, _ in self.coded(text))
 
     def encode(self, text: str) -> list[int]:
         return list(chain.from_iterable(self.chunks(text)))
@@ -269,18 +304,26 @@ class Codec:
 
 
 class _Words(dict):
-    """Ids of pre-tokens already met. A pre-token that is itself a token is that token."""
+    """Ids of pre-tokens already met, as numbers and in decimal. A pre-token that is itself a token is that
+    token. This is the young generation; pre-tokens that only the old one has come back when asked for."""
 
     def __init__(self, codec: Codec) -> None:
-        self.codec = codec
-
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        piece = word.encode()
-        whole = self.codec.ranks.get(piece)
-        ids = (whole,) if whole is not None else self.codec.machine.run(piece)
+        self.ranks, self.run, self.old = codec.ranks, codec.machine.run, {}
+
+    def age(self) -> None:
+        if len(self) > MAX_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+    def __missing__(self, word: str) -> tuple[tuple[int, ...], str]:
+        if (found := self.old.get(word)) is None:
+            piece = word.encode()
+            whole = self.ranks.get(piece)
+            ids = (whole,) if whole is not None else self.run(piece)
+            found = (ids, ",".join([str(i) for i in ids]))
         if len(word) < 200:
-            self[word] = ids
-        return ids
+            self[word] = found
+        return found
 
 
 OUTPUTS = {
@@ -300,35 +343,36 @@ def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc
     shared = spark.sparkContext.broadcast(small_file(ranks_path))
     columns, schema = tuple(outputs), T.StructType([T.StructField("id", docs.schema[id].dataType), *(T.StructField(c, OUTPUTS[c]) for c in outputs)])
 
+    key = ("bpe", hashlib.sha256(pattern.encode() + small_file(ranks_path)).hexdigest())
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(shared.value, pattern)
+        codec = resident(key, lambda: Codec(shared.value, pattern))
         gc.disable()  # its tables hold no cycles
-        for batch in batches:
-            for part in (batch.slice(k, 500) for k in range(0, batch.num_rows, 500)):
-                yield _encoded(codec, part, columns)
+        for part, texts in slices(batches, "text", 1 << 20, 500):
+            yield _encoded(codec, part, texts, columns)
 
     from pyspark.sql import functions as F
 
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(tidy(rows), schema).withColumnRenamed("id", id)
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(tidy(rows, keep=True), schema).withColumnRenamed("id", id)
 
 
-def _encoded(codec: Codec, batch: pa.RecordBatch, columns: tuple[str, ...]) -> pa.RecordBatch:
+def _encoded(codec: Codec, batch: pa.RecordBatch, texts: list[bytes], columns: tuple[str, ...]) -> pa.RecordBatch:
     found: dict[str, list] = {c: [] for c in columns}
-    decimal, whole, text_too = codec.decimal.__getitem__, "ids" in found, "decoded" in found
-    for raw in utf8(batch.column(1)):
+    whole, text_too = "ids" in found, "decoded" in found
+    for raw in texts:
         n, ids_sha, text_sha, ids, decoded = 0, hashlib.sha256(), hashlib.sha256(), [], []
 
-        def seen(chunks: Iterable[list[int]]) -> Iterator[list[int]]:
+        def seen(chunks: Iterable[tuple[list[int], str]]) -> Iterator[list[int]]:
             nonlocal n
-            for part in chunks:
+            for part, decimal in chunks:
                 if part:
-                    ids_sha.update(((b"," if n else b"") + ",".join(map(decimal, part)).encode()))  # noqa: B023
+                    ids_sha.update((("," if n else "") + decimal).encode())  # noqa: B023
                 n += len(part)
                 if whole:
                     ids.extend(part)  # noqa: B023
                 yield part
 
-        for piece in codec.decode(seen(codec.chunks(raw.decode("utf-8", "replace")))):
+        for piece in codec.decode(seen(codec.coded(raw.decode("utf-8", "replace")))):
             text_sha.update(piece.encode())
             if text_too:
                 decoded.append(piece)

@@ -11,21 +11,26 @@ import atexit
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 #: The letters that the contracts lower-case; every other letter keeps its case.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space in the sense of the contracts: the space and the code points 9 to 13.
 BLANKS = " \t\n\x0b\x0c\r"
 
 _own_folder: str | None = None
+_resident: tuple[object, object] | None = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +38,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset (tests), one local folder."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset in a local session (tests), one local
+    folder. On a cluster the executors would not share such a folder, so there it must be set."""
     global _own_folder
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="quernstone-")
     return _own_folder
@@ -50,13 +58,19 @@ class Scratch:
     """Tables of one operator call in the shared folder. ``drop`` frees one as soon as it is not needed;
     what is left, and may still be read by the result, goes when the driver ends."""
 
+    _open: dict[str, Scratch] = {}
+
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
-        atexit.register(self._end)
+        if not Scratch._open:
+            atexit.register(Scratch._end)
+        Scratch._open[self.root] = self
 
-    def _end(self) -> None:
-        with contextlib.suppress(Exception):  # the JVM may have gone before
-            self._delete(self.root)
+    @staticmethod
+    def _end() -> None:
+        for root, scratch in Scratch._open.items():
+            with contextlib.suppress(Exception):  # the JVM may have gone before
+                scratch._delete(root)
 
     def _delete(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(name)
@@ -86,10 +100,25 @@ def column(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``rows``, and afterwards what it used goes back to the system: Python workers are used for many tasks."""
+def resident(key: object, make: Callable[[], T]) -> T:
+    """What ``make`` gives, kept in this Python worker for the tasks to come; one thing is kept at a time, so
+    a worker that serves several operators holds the tables of the last one only."""
+    global _resident
+    if _resident is None or _resident[0] != key:
+        _resident = None
+        _resident = (key, make())
+        gc.freeze()  # such tables hold no cycles; the collector need not walk them after every task
+    return _resident[1]
+
+
+def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keep: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``rows``, and afterwards what it used goes back to the system: Python workers are used for many tasks.
+    What is resident goes as well, unless ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        global _resident
+        if not keep:
+            _resident = None
         try:
             yield from rows(batches)
         finally:
@@ -102,6 +131,20 @@ def tidy(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -
     return run
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = 2 << 20, rows: int = 1000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of batches, of about ``most`` bytes of text and at most ``rows`` rows, with their texts."""
+    for batch in batches:
+        for part in (batch.slice(k, rows) for k in range(0, batch.num_rows, rows)):
+            texts, at = utf8(part.column(column)), 0
+            while at < len(texts):
+                to, size = at, 0
+                while to < len(texts) and (to == at or size + len(texts[to]) <= most):
+                    size += len(texts[to])
+                    to += 1
+                yield part.slice(at, to - at), texts[at:to]
+                at = to
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 
