@@ -188,6 +188,17 @@ def test_token_counts(docs, empty):
     assert token_counts.count_tokens(empty, RANKS, P.PATTERN).count() == 0
 
 
+def test_very_long_pretokens_get_no_nodes(monkeypatch):
+    trie = token_counts.Trie(bpe.read_ranks(open(RANKS, "rb").read()))
+    words = ["x" * 500, "international" * 40, "日本語\U0001f642" * 60]
+    want = [trie[w] for w in words]
+    monkeypatch.setattr(token_counts, "LONG_WORD", 100)
+    trie.begin()
+    got = [trie[w] for w in words]
+    assert [n for n, _ in got] == [n for n, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want])
+    assert len(trie.score) == 1 and not trie
+
+
 def test_new_tries_change_nothing(monkeypatch):
     ranks = bpe.read_ranks(open(RANKS, "rb").read())
     whole = token_counts.Trie(ranks)
@@ -210,15 +221,18 @@ def test_lattice_sums_all_segmentations():
     def total(text):
         return 1.0 if not text else sum(p[number[text[:n]], 0] * total(text[n:]) for n in range(1, len(text) + 1) if text[:n] in number) + (language_id.UNKNOWN * total(text[1:]) if text[0] not in number else 0)
 
-    words = ["ab", "abab", "bab", "x", "axb"]
-    got = language_id.Lattice(words, number, 4).score(p)[:, 0]
-    assert got == pytest.approx([math.log(total("▁" + w)) for w in words])
-    counts = language_id.Lattice(["abab"], number, 4).expect(p, np.array([1.0]))
+    known = language_id.Pieces(pieces)
+    words = ["ab", "abab", "bab", "x", "axb", "", "🙂a"]
+    want = [math.log(total("▁" + w)) for w in words]
+    assert language_id.Lattice(words, known).score(p)[:, 0] == pytest.approx(want)
+    assert language_id.Lattice(words, known).score_by_logs(p)[:, 0] == pytest.approx(want)
+    assert [language_id.long_score(w, known, p)[0] for w in words] == pytest.approx(want)
+    counts = language_id.Lattice(["abab"], known).expect(p, np.array([1.0]))
     step = 1e-6
     for k in range(len(pieces)):  # the expected count is the slope of the log probability in log p
         q = p.copy()
         q[k] *= 1 + step
-        slope = (language_id.Lattice(["abab"], number, 4).score(q) - language_id.Lattice(["abab"], number, 4).score(p))[0, 0] / step
+        slope = (language_id.Lattice(["abab"], known).score(q) - language_id.Lattice(["abab"], known).score(p))[0, 0] / step
         assert counts[k] == pytest.approx(slope, abs=1e-4)
 
 
@@ -235,15 +249,92 @@ def test_language(spark, docs, empty):
     assert got[902].lang_pred == "fr" and got[None].lang_pred == "de"
     kept = language_id.keep_identified(docs, PIECES)
     assert kept.columns == docs.columns
+    filled = language_id.keep_identified(spark.createDataFrame(rows[:120] + [(902, "maisons avec les rue", None)], "doc_id long, text string, lang string"), PIECES)
+    assert {r.doc_id: r.lang for r in filled.collect()}[902] == "fr"
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 1, 2, 6, 7]
     assert language_id.predict_languages(empty, PIECES).count() == 0
     unlabelled = docs.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id.predict_languages(unlabelled, PIECES).collect()} == {"und"}
 
 
-def test_language_without_a_limit_on_length():
-    assert language_id.words_of("x" * 100) == ["x" * 32] * 3 + ["x" * 4]
-    assert language_id.words_of("12 3_4") == []
+def test_the_trie_holds_every_piece():
+    import numpy as np
+
+    pieces = language_id.read_pieces(PIECES)
+    known = language_id.Pieces(pieces)
+    node, alive = np.zeros(len(pieces), np.int32), np.arange(len(pieces))
+    for k in range(known.longest):
+        alive = alive[[len(pieces[p]) > k for p in alive]]
+        node[alive] = known.step(node[alive], np.array([ord(pieces[p][k]) for p in alive], np.uint32))
+    assert known.piece[node].tolist() == list(range(len(pieces)))
+    assert known.step(np.zeros(3, np.int32), np.array([0x1F642, 0x10FFFF, 0], np.uint32)).tolist()[1:] == [0, 0]
+
+
+def test_words_of_any_length_are_scored_whole(monkeypatch):
+    import numpy as np
+
+    assert language_id.words_of("x" * 100) == ["x" * 100] and language_id.words_of("12 3_4") == []
+    pieces, rng = language_id.read_pieces(PIECES), np.random.default_rng(1)
+    model = {x: (v := rng.random(len(pieces)) ** 6) / v.sum() for x in ("aa", "bb")}
+    scorer = language_id.Scorer(pieces, model)
+    words = ["".join(rng.choice(list("abcdeé日本x"), n)) for n in (3, 32, 33, 400, 70_000)]
+    whole = language_id.Lattice(words, scorer.pieces).score_by_logs(scorer.probability)
+    assert scorer.words(words) == pytest.approx(whole)
+    # 32 rare letters: no sum becomes zero, no score is undefined.
+    rare = scorer.texts(["\u1200\u1201" * 16, "\U00020000" * 5000 + " a"])
+    assert all(0 <= x <= 1 for x in rare[1]) and len(scorer.row) == 2
+    monkeypatch.setattr(language_id, "MAX_WORDS", 0)
+    assert scorer.texts(["ab cd", "日本"]) == language_id.Scorer(pieces, model).texts(["ab cd", "日本"])
+
+
+def test_prediction_by_brute_force(spark):
+    """The model by expectation-maximisation over all segmentations, written out for small words."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = [(k, t, x) for k, (t, x) in enumerate([("the cat sat", "en"), ("a cat", "en"), ("le chat", "fr"), ("chat la", "fr"), ("un chat le", "fr"), ("the", "en")] * 5)]
+    pieces = language_id.read_pieces(PIECES)
+    number = {p: k for k, p in enumerate(pieces)}
+
+    def ways(text):
+        """All segmentations as lists of piece numbers."""
+        if not text:
+            return [[]]
+        out = []
+        for n in range(1, len(text) + 1):
+            if text[:n] in number or n == 1:
+                out += [[number.get(text[:n], -1), *w] for w in ways(text[n:])]
+        return out
+
+    model = {x: [1 / len(pieces)] * len(pieces) for x in ("en", "fr")}
+    probability = lambda way, p: math.prod(p[k] if k >= 0 else language_id.UNKNOWN for k in way)
+    for _ in range(2):
+        after = {}
+        for x in model:
+            count = [language_id.SMOOTH] * len(pieces)
+            for k, t, y in rows:
+                if y == x and zlib.crc32(str(k).encode()) % 5:
+                    for word in t.split():
+                        each = [(probability(w, model[x]), w) for w in ways("▁" + word)]
+                        total = sum(p for p, _ in each)
+                        for p, w in each:
+                            for piece in w:
+                                if piece >= 0:
+                                    count[piece] += p / total
+            after[x] = [c / sum(count) for c in count]
+        model = after
+    got = {r.doc_id: r for r in language_id.predict_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), PIECES).collect()}
+    for k, t, _ in rows:
+        log = {x: sum(math.log(sum(probability(w, model[x]) for w in ways("▁" + word))) for word in t.split()) for x in model}
+        best = max(sorted(log), key=log.get)
+        assert got[k].lang_pred == best and got[k].score == pytest.approx(1 / sum(math.exp(v - log[best]) for v in log.values()))
+    assert sp.get_piece_size() > len(pieces)
+
+
+def test_at_most_so_many_languages(spark):
+    rows = [(k, "the house", f"x{min(k, 6)}") for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert set(language_id.learn(df, ["\u2581", "h", "e"], max_langs=1)) == {"x6"}
 
 
 def test_toxicity(spark, docs, empty):
