@@ -8,8 +8,10 @@ these are computed once, from the nodes above, however many pre-tokens share the
 which pre-tokens end give their counts. Costs are whole numbers (65536 to a nat, rounded), so equal
 costs are exact ties; the segmentation with fewer pieces then wins.
 
-Each task keeps one trie for the pre-tokens it meets; at ``MAX_NODES`` it starts a new one, which
-changes no result. Long texts are read a chunk of pre-tokens at a time.
+A worker keeps one trie for the pre-tokens of all its tasks; at ``MAX_NODES`` it starts a new one, which
+changes no result. Long texts are read a chunk of pre-tokens at a time. A pre-token of over ``LONG_WORD``
+bytes gets no nodes: the same recurrence runs over it with the last sums only, so memory does not grow
+with it.
 
 Defined results: a null or empty text has no pre-tokens, no tokens and a score of 0. Bytes that aren't
 UTF-8 are read as U+FFFD. A byte that is no piece costs as much as the last rank twice over. Rows
@@ -19,7 +21,9 @@ stand for themselves, also where ids are null or repeat; an empty table gives an
 from __future__ import annotations
 
 import gc
+import hashlib
 import math
+from collections import deque
 from collections.abc import Iterator
 from itertools import islice
 
@@ -29,10 +33,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import CHUNK, LONG, read_ranks
-from .common import ship, small_file, tidy, utf8
+from .common import resident, ship, slices, small_file, tidy
 
 #: Nodes that a trie may have before a new one is begun.
-MAX_NODES = 1_500_000
+MAX_NODES = 1_000_000
+#: Bytes of a pre-token that is still inserted.
+LONG_WORD = 4_096
 UNIT = 65536
 
 
@@ -79,6 +85,8 @@ class Trie(dict):
         if len(self.score) > MAX_NODES:
             self.begin()
         piece, node, path = word.encode(), 0, [0]
+        if len(piece) > LONG_WORD:
+            return self._along(piece)
         for k, byte in enumerate(piece):
             step = node << 8 | byte
             if (node := self.child.get(step, 0)) == 0:
@@ -87,6 +95,21 @@ class Trie(dict):
         found = self[word] = (self.count[node], self.score[node])
         return found
 
+    def _along(self, word: bytes) -> tuple[int, float]:
+        """(tokens, score) of a very long pre-token: (score, cost, count) of its last ``longest`` prefixes."""
+        get, held = self.pieces.get, deque([(0.0, 0, 0)], self.longest)
+        for n in range(1, len(word) + 1):
+            terms, best = [], None
+            for back, (score, cost, count) in enumerate(reversed(held), 1):
+                if (piece := get(word[n - back : n])) is not None:
+                    terms.append(score + piece[0])
+                    way = (cost + piece[1], count + 1)
+                    if best is None or way < best:
+                        best = way
+            top = max(terms)
+            held.append((top + math.log(sum(math.exp(x - top) for x in terms)) if len(terms) > 1 else top, *best))
+        return held[-1][2], held[-1][0]
+
 
 def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_id", text: str = "text") -> DataFrame:
     """The id of each row, n_pretokens, n_tokens (of the best segmentation of each pre-token) and score,
@@ -96,15 +119,17 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_
     shared = spark.sparkContext.broadcast(small_file(ranks_path))
     schema = T.StructType([T.StructField("id", docs.schema[id].dataType), T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())])
 
+    key = ("trie", hashlib.sha256(small_file(ranks_path)).hexdigest())
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
+        trie, split = resident(key, lambda: Trie(read_ranks(shared.value))), regex.compile(pattern)
         gc.disable()  # a trie holds no cycles
-        trie, split = Trie(read_ranks(shared.value)), regex.compile(pattern)
         get = trie.__getitem__
-        for batch in batches:
+        for batch, texts in slices(batches, "text", 1 << 20):
             out: tuple[list, ...] = ([], [], [])
-            for raw in utf8(batch.column(1)):
+            for raw in texts:
                 whole, words, tokens, score = raw.decode("utf-8", "replace"), 0, 0, 0.0
                 found = iter((split.findall(whole),)) if len(whole) <= LONG else _parts(split, whole)
                 for part in found:
@@ -115,7 +140,7 @@ def count_tokens(docs: DataFrame, ranks_path: str, pattern: str, id: str = "doc_
                     column.append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], ["id", "n_pretokens", "n_tokens", "score"])
 
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(tidy(rows), schema).withColumnRenamed("id", id)
+    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(tidy(rows, keep=True), schema).withColumnRenamed("id", id)
 
 
 def _parts(split: object, text: str) -> Iterator[list[str]]:
