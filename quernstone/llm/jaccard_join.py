@@ -8,14 +8,16 @@ is at least 80 % of the union. The join finds the connected components of all li
 3.  Linked sets share one of their first n - ceil(0.8 n) + 1 shingles in any fixed order. The order
     puts shingles that many documents hold last; their counts come from a pass over all documents.
     These first shingles are dealt by their hash, and the classes that share one form a bucket.
-4.  In a bucket an R-tree is packed over the points. The overlap of two sets is at most the sum of the
-    smaller coordinates, and that of a set with any set below a node at most the sum of the minima
-    with the node's upper corner; both must reach 4/9 of the summed sizes.
+4.  In every bucket an R-tree is packed over points, and the bucket's classes are searched in it, all at
+    once from level to level. The overlap of two sets is at most the sum of the smaller coordinates, and
+    that of a set with any set below a node at most the sum of the minima with the node's upper corner;
+    both must reach 4/9 of the summed sizes.
 5.  Surviving pairs are verified on the sets themselves, read again from the texts.
-6.  A bucket of more than ``SMALL`` classes first pairs each class with a few pivots of fitting size, so
-    a group of near copies costs pairs in proportion to its rows. What the verified links leave apart
-    is then searched: classes outside a bucket's largest component, in blocks, each block an R-tree
-    that all classes of the bucket are run against. So no link between components is lost.
+6.  In a bucket of up to ``SMALL`` classes the tree holds them all. In a larger one it first holds a few
+    classes of each size band, so a group of near copies costs pairs in proportion to its rows. What the
+    verified links leave apart is then searched: classes outside a bucket's largest component, by size
+    band and in blocks, each block an R-tree that the bucket's classes of fitting bands are run against.
+    So no link between components is lost.
 7.  Components are found by label propagation with pointer jumping on written tables.
 
 Nothing of the size of the corpus reaches the driver: a bounded list of the most frequent places of a
@@ -35,19 +37,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, mix, ship, tidy, utf8
+from .common import Scratch, column, mix, ship, slices, tidy
 from .rolling import shingle_sets
 
 GROUPS = 512
 #: Bits of the table that counts shingles; of its places, how many most frequent ones are kept apart.
 TABLE_BITS, MOST_FREQUENT = 22, 100_000
 #: Classes in a bucket that are compared at once; points in a block; entries of a tree's node.
-SMALL, BLOCK, FAN = 8, 512, 16
-#: Classes of each size band that the others of a large bucket are first paired with.
-PIVOTS = 6
+SMALL, BLOCK, FAN = 8, 512, 4
+#: Classes of each size band that the others of a large bucket are first paired with, and the band's width.
+PIVOTS, BAND = 6, 1.25
+#: Pairs of a point and a tree's node that are bounded at once.
+AT_ONCE = 20_000
 #: First shingles that one task handles.
 TASK_ROWS = 500_000
 
@@ -56,20 +61,6 @@ def prefix_length(n: int) -> int:
     return n - -(-4 * n // 5) + 1
 
 
-def _slices(batches: Iterator[pa.RecordBatch], most: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of batches, of about ``most`` bytes of text, with their texts (column "text")."""
-    for batch in batches:
-        for part in (batch.slice(k, 1000) for k in range(0, batch.num_rows, 1000)):
-            texts, at = utf8(part.column("text")), 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size + len(texts[to]) <= most):
-                    size += len(texts[to])
-                    to += 1
-                yield part.slice(at, to - at), texts[at:to]
-                at = to
-
-
 def _sums(flat: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     total = np.zeros(len(flat) + 1, np.uint64)
     with np.errstate(over="ignore"):
@@ -96,7 +87,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of each document: id, class hash, size, point; and places of the table that are frequent here."""
     count, docs, last = np.zeros(1 << TABLE_BITS, np.int64), 0, None
     held: list[np.ndarray] = []
-    for part, texts in _slices(batches):
+    for part, texts in slices(batches):
         flat, bounds = shingle_sets(texts)
         held.append((flat >> np.uint64(64 - TABLE_BITS)).astype(np.int64))
         if sum(map(len, held)) > 1 << TABLE_BITS:
@@ -117,11 +108,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.nulls(k, last), pa.array(at), pa.array(np.full(k, -1, np.int32)), pa.nulls(k, pa.binary()), pa.array(count[at])], ["id", "c", "n", "point", "seen"])
 
 
-def _deal(frequent: list[tuple[int, int]], parts: int) -> object:
+def _deal(frequent: Broadcast, parts: int) -> object:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The first shingles of each class met in this task, packed for each part they go to."""
         rank = np.zeros(1 << TABLE_BITS, np.uint64)
-        for place, n in frequent:
+        for place, n in frequent.value:
             rank[place] = min(62, int(n).bit_length())
         met: set[tuple[int, int]] = set()
         pack = zstandard.ZstdCompressor(level=1)
@@ -138,7 +129,7 @@ def _deal(frequent: list[tuple[int, int]], parts: int) -> object:
                 x.clear()
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], ["part", "packed"])
 
-        for _, texts in _slices(batches):
+        for _, texts in slices(batches):
             flat, bounds = shingle_sets(texts)
             hashes, places = _sums(flat, bounds), rank[(flat >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
             for k, c in enumerate(hashes.tolist()):
@@ -206,47 +197,33 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class RTree:
-    """Packed over points sorted by size: each node keeps the upper corner and the least size below it."""
+    """Packed over points sorted by size: each node keeps the upper corner and the sizes below it."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray) -> None:
         self.order = np.lexsort((*points.T[:4], sizes))
-        self.place = np.argsort(self.order)
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        self.levels = [(self.points, self.sizes, self.sizes)]
+        self.levels = [(points[self.order], sizes[self.order], sizes[self.order])]
         while len(self.levels[-1][0]) > FAN:
             top, low, high = self.levels[-1]
             cuts = np.arange(0, len(top), FAN)
             self.levels.append((np.maximum.reduceat(top, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)))
 
-    def pairs(self) -> list[tuple[int, int]]:
-        """All pairs (smaller number first) whose overlap may suffice."""
-        if len(self.levels) == 1:
-            n = self.sizes
-            both = np.minimum(self.points[:, None], self.points[None]).sum(2, dtype=np.int64)
-            fits = (9 * both >= 4 * (n[:, None] + n)) & (5 * n >= 4 * n[:, None]) & (5 * n[:, None] >= 4 * n)
-            a, b = np.nonzero(np.triu(fits, 1))
-            found = np.sort(np.stack([self.order[a], self.order[b]], 1), 1)
-            return [(x, y) for x, y in found.tolist()]
-        return [(k, j) for k in range(len(self.order)) for j in self.near(self._of(k), self._size(k)).tolist() if k < j]
-
-    def _of(self, k: int) -> np.ndarray:
-        return self.points[self.place[k]]
-
-    def _size(self, k: int) -> int:
-        return int(self.sizes[self.place[k]])
-
-    def near(self, point: np.ndarray, size: int) -> np.ndarray:
-        """The points whose overlap with the given one may suffice, by number."""
-        at = np.arange(len(self.levels[-1][0]))
+    def near(self, points: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All (number of a given point, number of a point of the tree) whose overlap may suffice."""
+        roots = len(self.levels[-1][0])
+        who, at = np.repeat(np.arange(len(points)), roots), np.tile(np.arange(roots), len(points))
         for level in range(len(self.levels) - 1, -1, -1):
             top, low, high = self.levels[level]
+            size = sizes[who]
             fits = (5 * high[at] >= 4 * size) & (5 * size >= 4 * low[at])
-            at = at[fits]
-            at = at[9 * np.minimum(top[at], point).sum(1, dtype=np.int64) >= 4 * (low[at] + size)]
-            if level and len(at):
-                at = (at[:, None] * FAN + np.arange(FAN)).ravel()
-                at = at[at < len(self.levels[level - 1][0])]
-        return self.order[at]
+            who, at = who[fits], at[fits]
+            both = [np.minimum(top[at[k : k + AT_ONCE]], points[who[k : k + AT_ONCE]]).sum(1, dtype=np.int64) for k in range(0, len(at), AT_ONCE)]
+            fits = 9 * np.concatenate([np.empty(0, np.int64), *both]) >= 4 * (low[at] + sizes[who])
+            who, at = who[fits], at[fits]
+            if level:
+                who, at = np.repeat(who, FAN), (at[:, None] * FAN + np.arange(FAN)).ravel()
+                inside = at < len(self.levels[level - 1][0])
+                who, at = who[inside], at[inside]
+        return who, self.order[at]
 
 
 _PAIR = "a long, ac long, an int, b long, bc long, bn int"
@@ -270,65 +247,68 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
             yield bool(new[a]), {k: x[a:b] for k, x in columns.items()} | {"point": points[a:b]}
 
 
-def _pairs_batch(pairs: list[tuple]) -> pa.RecordBatch:
-    names = ["a", "ac", "an", "b", "bc", "bn"]
-    kinds = [pa.int64(), pa.int64(), pa.int32()] * 2
-    columns = list(zip(*pairs, strict=True)) if pairs else [[]] * 6
-    return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
+class _Pairs(dict):
+    """Distinct pairs of classes (rep, c, n), the smaller first."""
+
+    def put(self, x: list[tuple], y: list[tuple], who: np.ndarray, at: np.ndarray) -> None:
+        for k, j in zip(who.tolist(), at.tolist(), strict=True):
+            if x[k] != y[j]:
+                self[(*min(x[k], y[j]), *max(x[k], y[j]))] = None
+
+    def take(self) -> pa.RecordBatch:
+        names = ["a", "ac", "an", "b", "bc", "bn"]
+        kinds = [pa.int64(), pa.int64(), pa.int32()] * 2
+        columns = list(zip(*self, strict=True)) if self else [[]] * 6
+        self.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
+
+
+def _classes(g: dict[str, np.ndarray]) -> list[tuple]:
+    return list(zip(g["rep"].tolist(), g["c"].tolist(), g["n"].tolist(), strict=True))
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that the bound leaves: in small buckets all, in large ones those of each class with
-    the first classes of its and the next size bands. Rows come sorted by bucket and by a hash of the
-    class, so the buckets of one group of near copies have the same first classes."""
-    pairs: dict[tuple, None] = {}
-    group: dict[str, np.ndarray] | None = None
+    """Pairs of classes that a search of an R-tree leaves: in small buckets the tree holds all classes, in
+    large ones the first classes of each size band. Rows come sorted by bucket and by a hash of the class,
+    so the buckets of one group of near copies have the same first classes."""
+    pairs, group, pivots = _Pairs(), None, None
 
     def small(g: dict[str, np.ndarray]) -> None:
-        tree = RTree(g["point"], g["n"].astype(np.int64))
-        row = list(zip(g["rep"].tolist(), g["c"].tolist(), g["n"].tolist(), strict=True))
-        for k, j in tree.pairs():
-            pairs[(*min(row[k], row[j]), *max(row[k], row[j]))] = None
+        n = g["n"].astype(np.int64)
+        who, at = RTree(g["point"], n).near(g["point"], n)
+        row = _classes(g)
+        pairs.put(row, row, who[who < at], at[who < at])
 
     for first, g in _groups(batches, ["bucket"]):
+        if first and group is not None:
+            small(group)
+            group = None
         if g["m"][0] <= SMALL:
-            if not first and group is not None:
-                g = {k: np.concatenate([group[k], x]) for k, x in g.items()}
-            elif group is not None:
-                small(group)
-            group = g
-        else:
-            if group is not None:
-                small(group)
-                group = None
-            row = list(zip(g["rep"].tolist(), g["c"].tolist(), g["n"].tolist(), strict=True))
-            if first:
-                pivots = {}
-            for k, x in enumerate(row):
-                band = int(math.log(x[2]) / math.log(1.25))
-                near = [p for b in (band - 1, band, band + 1) for p in pivots.get(b, ())]
-                if near:
-                    sizes = np.array([p[0][2] for p in near])
-                    both = np.minimum(np.stack([p[1] for p in near]), g["point"][k]).sum(1, dtype=np.int64)
-                    for j in np.flatnonzero((9 * both >= 4 * (sizes + x[2])) & (5 * sizes >= 4 * x[2]) & (5 * x[2] >= 4 * sizes)).tolist():
-                        y = near[j][0]
-                        pairs[(*min(x, y), *max(x, y))] = None
-                if len(pivots.setdefault(band, [])) < PIVOTS:
-                    pivots[band].append((x, g["point"][k]))
+            group = g if group is None else {k: np.concatenate([group[k], x]) for k, x in g.items()}
+            continue
+        n, row = g["n"].astype(np.int64), _classes(g)
+        if first:
+            pivots, held = {}, []
+        band = np.floor(np.log(n) / math.log(BAND)).astype(np.int64).tolist()
+        for k, b in enumerate(band):
+            if pivots.get(b, 0) < PIVOTS:
+                pivots[b] = pivots.get(b, 0) + 1
+                held.append((row[k], g["point"][k]))
+        tree = RTree(np.stack([p for _, p in held]), np.array([x[2] for x, _ in held], np.int64))
+        for k in range(0, len(row), 1000):
+            who, at = tree.near(g["point"][k : k + 1000], n[k : k + 1000])
+            pairs.put(row[k : k + 1000], [x for x, _ in held], who, at)
         if len(pairs) >= 50_000:
-            yield _pairs_batch(list(pairs))
-            pairs.clear()
+            yield pairs.take()
     if group is not None:
         small(group)
-    yield _pairs_batch(list(pairs))
+    yield pairs.take()
 
 
 def _rest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs between components: rows sorted by bucket, block, side; side 0 is the block's tree."""
-    pairs: dict[tuple, None] = {}
-    held: list[dict[str, np.ndarray]] = []
-    tree = None
-    for first, g in _groups(batches, ["bucket", "block"]):
+    """Pairs between components: rows sorted by bucket, band, block, side; side 0 is the block's tree."""
+    pairs, held, tree = _Pairs(), [], None
+    for first, g in _groups(batches, ["bucket", "band", "block"]):
         if first:
             held, tree = [], None
         for side in (0, 1):
@@ -343,21 +323,19 @@ def _rest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if tree is None:
                 block = {k: np.concatenate([x[k] for x in held]) for k in own}
-                tree = RTree(block["point"], block["n"].astype(np.int64))
-                rows = list(zip(block["rep"].tolist(), block["c"].tolist(), block["n"].tolist(), strict=True))
-            for rep, c, n, label, point in zip(own["rep"].tolist(), own["c"].tolist(), own["n"].tolist(), own["label"].tolist(), own["point"], strict=True):
-                near = tree.near(point, n)
-                for j in near[block["label"][near] != label].tolist():
-                    x, y = (rep, c, n), rows[j]
-                    pairs[(*min(x, y), *max(x, y))] = None
+                tree, rows = RTree(block["point"], block["n"].astype(np.int64)), _classes(block)
+            asked = _classes(own)
+            for k in range(0, len(asked), 1000):
+                who, near = tree.near(own["point"][k : k + 1000], own["n"][k : k + 1000].astype(np.int64))
+                apart = block["label"][near] != own["label"][k : k + 1000][who]
+                pairs.put(asked[k : k + 1000], rows, who[apart], near[apart])
             if len(pairs) >= 50_000:
-                yield _pairs_batch(list(pairs))
-                pairs.clear()
-    yield _pairs_batch(list(pairs))
+                yield pairs.take()
+    yield pairs.take()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, texts in _slices(batches):
+    for _, texts in slices(batches):
         flat, bounds = shingle_sets(texts)
         c, n = _sums(flat, bounds), np.diff(bounds).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(c), pa.array(n), pa.array([flat[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], ["c", "n", "tokens"])
@@ -418,7 +396,8 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     parts = max(16, -(-int(shingles) // (5 * TASK_ROWS)))
     classes = scratch.keep(rows.filter("n > 0").groupBy("c", "n").agg(F.min("id").alias("rep"), F.max("point").alias("point")))
 
-    dealt = docs.select("text").mapInArrow(tidy(_deal([(r["c"], r["n"]) for r in top], parts)), "part int, packed binary")
+    frequent = spark.sparkContext.broadcast([(r["c"], r["n"]) for r in top])  # at most MOST_FREQUENT
+    dealt = docs.select("text").mapInArrow(tidy(_deal(frequent, parts)), "part int, packed binary")
     buckets = scratch.keep(dealt.repartition(parts, "part").mapInArrow(tidy(_buckets), "bucket long, m int, c long, n int").distinct())
     points = buckets.join(classes.filter("rep is not null"), ["c", "n"]).select("bucket", "m", "c", "n", "rep", "point")
     pairs = scratch.keep(points.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("c"), "c", "n").mapInArrow(tidy(_first_pairs), _PAIR).distinct())
@@ -429,20 +408,24 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     known = classes.select("c", "n", "rep", "point").join(labels, F.col("rep") == labels["node"], "left").select("c", "n", "rep", "point", F.coalesce("label", "rep").alias("label"))
     large = scratch.keep(buckets.filter(F.col("m") > SMALL).select("bucket", "c", "n").join(known.filter("rep is not null"), ["c", "n"]))
     by_label = large.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-    apart = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("major"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
-    apart = apart.withColumn("blocks", F.ceil(F.col("others") / BLOCK).cast("int"))
-    rest = large.join(apart, "bucket")
-    inside = rest.filter("label <> major").withColumn("block", F.pmod(F.xxhash64("c", "n"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
-    run = rest.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
-    columns = ["bucket", "block", "side", "c", "n", "rep", "label", "point"]
+    apart = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("major"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0").drop("others")
+    # Linked sizes differ by a factor of 1.25 at most, so a class meets its own band and the two beside it.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
+    rest = scratch.keep(large.join(apart, "bucket").withColumn("band", band))
+    inside = rest.filter("label <> major")
+    blocks = scratch.keep(inside.groupBy("bucket", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
+    inside = inside.join(blocks, ["bucket", "band"]).withColumn("block", F.pmod(F.xxhash64("c", "n"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
+    run = rest.withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1))))).join(blocks, ["bucket", "band"])
+    run = run.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
+    columns = ["bucket", "band", "block", "side", "c", "n", "rep", "label", "point"]
     both = inside.select(columns).union(run.select(columns))
-    more = scratch.keep(both.repartition("bucket", "block").sortWithinPartitions("bucket", "block", "side").mapInArrow(tidy(_rest_pairs), _PAIR).distinct())
+    more = scratch.keep(both.repartition("bucket", "band", "block").sortWithinPartitions("bucket", "band", "block", "side").mapInArrow(tidy(_rest_pairs), _PAIR).distinct())
     if more.limit(1).count():
         found = _verified(more, docs, scratch)
         if found.limit(1).count():
             links = scratch.keep(links.union(found))
             labels = components(links, scratch)
-    scratch.drop(buckets, large, pairs, more)
+    scratch.drop(buckets, large, pairs, more, rest, blocks)
     repeated = rows.filter("id is not null").groupBy("id").agg(F.min("c").alias("c"), F.max("c").alias("d")).filter("c <> d").select(F.col("id").alias("twice"))
     several = bool(repeated.limit(1).count())
     if several:  # the texts of one id are one document

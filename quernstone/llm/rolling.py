@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 from .common import mix
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Bytes that are hashed at once, so that prefix hashes and powers stay small however long a text is.
+CHUNK = 1 << 22
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -39,6 +43,32 @@ def ranges(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarra
         return (prefix[stop] - prefix[start]) * down[start]
 
 
+def grouped(start: np.ndarray, stop: np.ndarray, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Groups (from, to) of ascending ranges that together span at most ``most`` bytes, or hold one range."""
+    a, most = 0, most or CHUNK
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(stop, start[a] + most, "right")))
+        yield a, b
+        a = b
+
+
+def range_hashes(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """``ranges`` of ascending ranges of any length, hashed group by group."""
+    out = np.zeros(len(start), np.uint64)
+    for a, b in grouped(start, stop):
+        low, high = int(start[a]), int(stop[b - 1])
+        if high - low <= CHUNK:
+            out[a:b] = ranges(prefix_hashes(data[low:high]), start[a:b] - low, stop[a:b] - low)
+            continue
+        total, power = 0, 1  # one range; the hash of xy is that of x plus BASE**len(x) times that of y
+        for k in range(low, high, CHUNK):
+            part = data[k : min(k + CHUNK, high)]
+            total += power * int(prefix_hashes(part)[-1])
+            power = power * pow(int(BASE), len(part), 1 << 64) % (1 << 64)
+        out[a] = total % (1 << 64)
+    return out
+
+
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _BLANK = np.array([c in b" \t\n\x0b\x0c\r" for c in range(256)])
 #: What each word of a shingle is multiplied by.
@@ -56,7 +86,7 @@ def shingle_sets(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndar
     inside[1:-1] = ~_BLANK[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, stop = edges[::2], edges[1::2]
-    word = mix(ranges(prefix_hashes(data), start, stop))
+    word = mix(range_hashes(data, start, stop))
     first = np.searchsorted(start, begins)  # of the words of each text
     n = np.diff(first)
     with np.errstate(over="ignore"):
