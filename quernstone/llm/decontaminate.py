@@ -4,27 +4,29 @@ Words are the maximal runs of ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]`` after A-Z
 window is ``window`` consecutive words of a benchmark item; an item of fewer words, but not none, is
 one window. Every document word inside any occurrence of a window is hit.
 
-A task turns its documents into shards. An occurrence holds only words of the benchmark, each followed
-by a word that also follows it in some item. A shard holds the stretches of such words, but for those
-shorter than the shortest window, which can hold no occurrence; nothing else is left out. Over each shard it builds a suffix array
-(prefix doubling that sorts only what is not yet told apart), the Burrows-Wheeler transform as a
-wavelet matrix with bit ranks, and samples of the suffix positions. All windows are searched backwards
-at once; the rows found are walked to sampled positions, and the occurrences are merged into spans.
+A task turns its documents into shards of at most ``SHARD_WORDS`` words. A shard holds all their words
+that stand in the benchmark; each run of other words, and each end of a document, is one separating
+symbol, which no window holds. Over a shard it builds a suffix array (prefix doubling that sorts only what
+is not yet told apart), the Burrows-Wheeler transform as a wavelet matrix with bit ranks, and samples of
+the suffix positions. All windows are searched backwards at once; the rows found are walked to sampled
+positions, and the occurrences are merged into spans. A longer document is cut in shards that overlap
+by the longest window but one word, so no occurrence is lost.
 
 The windows travel to the tasks in blocks of at most ``block_bytes`` of benchmark text, so what is
-broadcast has a checked size; a larger benchmark takes more blocks, each over all documents, whose
-spans are merged by row.
+broadcast has a checked size, and the driver holds one block at a time; a larger benchmark takes more
+blocks, each over all documents, whose spans are merged by row. A single item is never cut.
 
 Defined results: a null or empty text has no words and no spans, and is not contaminated. Benchmark
 items that are null or hold no word have no window; items that repeat are named once, items without
 id are searched but not named. A document row is known by its id and its text: rows equal in both
-have equal spans. An empty benchmark hits nothing, an empty table of documents gives an empty table.
+have equal spans. Very long texts are read in pieces cut at word ends. An empty benchmark hits nothing,
+an empty table of documents gives an empty table. Extra columns may have any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +34,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, ship, tidy, utf8
+from .common import column, ship, slices, tidy
 
 #: What is not a word character becomes a space, A-Z become a-z.
 WORDS = bytes(32 if c <= 0x2F or 0x3A <= c <= 0x40 or 0x5B <= c <= 0x60 or 0x7B <= c <= 0x7F else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
-#: Words of stretches that a shard holds before it is indexed, and the sampling rate of its positions.
-SHARD_WORDS, SAMPLE = 1_000_000, 8
+#: Words of a shard, the sampling rate of its positions, and bytes of a long text that are split at once.
+SHARD_WORDS, SAMPLE, PIECE = 1_000_000, 8, 1 << 20
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -117,8 +119,7 @@ class WaveletMatrix:
 
 
 class FmIndex:
-    """The index of one shard: ``s`` holds symbols from 1; 0 separates stretches and occurs in no window.
-    Inside, all are one greater, and a single 0 ends the sequence."""
+    """The index of one shard: ``s`` holds symbols from 1; 0 separates and occurs in no window. Inside, all are one greater, and a single 0 ends the sequence."""
 
     def __init__(self, s: np.ndarray, symbols: int) -> None:
         s = np.append(s + 1, 0)
@@ -160,17 +161,11 @@ class FmIndex:
         return out
 
 
-_GAP = np.zeros(1, np.int64)
 #: Stands between the words of two documents; the byte is in no UTF-8 text.
 _MARK = b"\xff"
 _END = b" \xff "
 
 
-def _pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A place in the table of word pairs; pairs that share a place only lengthen stretches."""
-    return (left * 40_503 + right * 2_654_435_761) >> 7 & 0xFFFFF
-
-
 class Windows:
     """The distinct windows of some benchmark items, and the items of each."""
 
@@ -186,37 +181,46 @@ class Windows:
         for row, w in zip(self.symbols, found, strict=True):
             row[len(row) - len(w) :] = w
         self.items = [tuple(sorted(names)) for names in found.values()]
-        self.shortest = int(self.length.min()) if found else 1
-        self.pairs = np.zeros(1 << 20, bool)
-        a, b = self.symbols[:, :-1], self.symbols[:, 1:]
-        self.pairs[_pair(a[a > 0], b[a > 0])] = True
+        self.longest = int(self.length.max(initial=1))
         self.number[_MARK] = -1
 
+    def ids(self, words: bytes) -> np.ndarray:
+        """The numbers of translated words, 0 for those of no window, -1 for the end of a document."""
+        found, at = [], 0
+        while at < len(words):
+            to = len(words) if len(words) - at <= PIECE else words.find(b" ", at + PIECE)
+            split = words[at : to if to >= 0 else len(words)].split()
+            found.append(np.fromiter(map(self.number.get, split, repeat(0)), np.int32, len(split)))
+            at = to if to >= 0 else len(words)
+        return np.concatenate(found) if found else np.empty(0, np.int32)
+
     def occurrences(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Window numbers and positions of all occurrences in a sequence of symbols."""
-        if not len(self.items) or not len(s):
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        index = FmIndex(s, len(self.number) - 1)
-        who, lo, hi = index.search(self.symbols, self.length)
-        count = hi - lo
-        rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        return np.repeat(who, count), index.locate(rows)
+        """Window numbers and positions of all occurrences in a sequence of symbols, by an index of each shard."""
+        who, at = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for a in range(0, len(s), SHARD_WORDS) if self.items else ():
+            index = FmIndex(s[a : a + SHARD_WORDS + self.longest - 1], len(self.number) - 1)
+            found, lo, hi = index.search(self.symbols, self.length)
+            count = hi - lo
+            rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
+            who.append(np.repeat(found, count))
+            at.append(index.locate(rows) + a)
+        return np.concatenate(who), np.concatenate(at)
 
 
 class _Shard:
-    """Documents gathered until their stretches fill a shard."""
+    """Documents gathered until they fill a shard."""
 
     def __init__(self, windows: Windows) -> None:
-        self.windows, self.number = windows, windows.number
+        self.windows = windows
         self.clear()
 
     def clear(self) -> None:
-        self.n_words, self.pieces, self.doc, self.at, self.size = [], [], [], [], 0
+        self.n_words, self.size = [], 0
+        # Of each symbol of the shard: itself, its document, and its place among the document's words.
+        self.symbols, self.doc, self.at = [], [], []
 
     def add(self, texts: list[bytes]) -> None:
-        split = [t.translate(WORDS) for t in texts]
-        words = _END.join(split).split()
-        ids = np.fromiter(map(self.number.get, words, repeat(0)), np.int64, len(words))
+        ids = self.windows.ids(_END.join(t.translate(WORDS) for t in texts))
         ends = np.flatnonzero(ids < 0)
         if len(ends) != len(texts) - 1:  # bytes that no UTF-8 text holds
             for t in texts if len(texts) > 1 else []:
@@ -224,42 +228,34 @@ class _Shard:
             if len(texts) > 1:
                 return
             ids, ends = np.maximum(ids, 0), ends[:0]
-        begins = np.concatenate([[0], ends + 1])
-        first = len(self.n_words)
-        self.n_words += (np.diff(np.append(begins, len(ids) + 1)) - 1).tolist()
+        n = np.diff(np.concatenate([[-1], ends, [len(ids)]])) - 1
         known = ids > 0
-        linked = np.zeros(len(ids) + 1, bool)  # with the word before
-        linked[1:-1] = known[1:] & known[:-1] & self.windows.pairs[_pair(ids[:-1], ids[1:])]
-        starts, stops = np.flatnonzero(known & ~linked[:-1]), np.flatnonzero(known & ~linked[1:]) + 1
-        long = stops - starts >= self.windows.shortest
-        starts, stops = starts[long], stops[long]
-        docs = np.searchsorted(begins, starts, "right") - 1
-        for doc, a, b in zip(docs.tolist(), starts.tolist(), stops.tolist(), strict=True):
-            self.pieces += [ids[a:b], _GAP]
-            self.doc.append(first + doc)
-            self.at.append((self.size, a - int(begins[doc])))
-            self.size += b - a + 1
+        # Of what is not known, the first after something known stays as a separator.
+        kept = np.flatnonzero(known | np.append(False, known[:-1]))
+        begins = np.concatenate([[0], ends + 1])
+        doc = np.searchsorted(begins, kept, "right") - 1
+        self.symbols += [np.maximum(ids[kept], 0), np.zeros(1, np.int32)]
+        self.doc += [(doc + len(self.n_words)).astype(np.int32), np.full(1, -1, np.int32)]
+        self.at += [kept - begins[doc], np.zeros(1, np.int64)]
+        self.n_words += n.tolist()
+        self.size += len(kept) + 1
 
     def spans(self) -> tuple[list[list[dict]], list[list[str]]]:
         """For each document its merged spans of hit words, and the items found in it."""
         spans: list[list[dict]] = [[] for _ in self.n_words]
         items: list[list[str]] = [[] for _ in self.n_words]
-        if self.pieces and self.windows.items:
-            s = np.concatenate(self.pieces)
+        if self.size and self.windows.items:
+            s, docs, place = np.concatenate(self.symbols), np.concatenate(self.doc), np.concatenate(self.at)
             who, at = self.windows.occurrences(s)
             cover = np.zeros(len(s) + 1, np.int64)
             np.add.at(cover, at, 1)
             np.add.at(cover, at + self.windows.length[who], -1)
-            starts = np.array([x for x, _ in self.at])
             inside = np.cumsum(cover[:-1]) > 0
             edges = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
             for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                k = int(np.searchsorted(starts, a, "right")) - 1
-                shift = self.at[k][1] - self.at[k][0]
-                spans[self.doc[k]].append({"start": a + shift, "end": b + shift})
-            docs = np.array(self.doc)[np.searchsorted(starts, at, "right") - 1]
+                spans[docs[a]].append({"start": int(place[a]), "end": int(place[b - 1]) + 1})
             names: dict[int, set[str]] = {}
-            for doc, w in np.unique(np.stack([docs, who], 1), axis=0).tolist():
+            for doc, w in np.unique(np.stack([docs[at], who], 1), axis=0).tolist():
                 names.setdefault(doc, set()).update(self.windows.items[w])
             for doc, found in names.items():
                 items[doc] = sorted(found)
@@ -290,12 +286,11 @@ def _search(docs: DataFrame, items: list[tuple[str | None, bytes]], window: int,
             held.clear()
             return pa.RecordBatch.from_arrays(out, [*keep, "n_words", "spans", "items"])
 
-        for whole in batches:
-            for batch in (whole.slice(k, 500) for k in range(0, whole.num_rows, 500)):
-                shard.add(utf8(batch.column("__text")))
-                held.append(batch.select(keep))
-                if shard.size >= SHARD_WORDS or len(shard.n_words) >= 20_000:
-                    yield flush()
+        for batch, texts in slices(batches, "__text", 1 << 20, 500):
+            shard.add(texts)
+            held.append(batch.select(keep))
+            if shard.size >= SHARD_WORDS or len(shard.n_words) >= 20_000:
+                yield flush()
         if held:
             yield flush()
 
@@ -332,16 +327,16 @@ def _found(docs: DataFrame, benchmark: DataFrame, text: str, item_id: str, item_
     ship(docs.sparkSession)
     columns = [f"__k{n}" for n in range(len(keep))]
     base = docs.select(*(column(c).alias(k) for c, k in zip(keep, columns, strict=True)), column(text).alias("__text"))
-    blocks = list(_blocks(benchmark, item_id, item_text, block_bytes)) or [[]]
-    if len(blocks) == 1:
-        out = _search(base, blocks[0], window, columns)
+    blocks = _blocks(benchmark, item_id, item_text, block_bytes)
+    first, second = next(blocks, []), next(blocks, None)
+    if second is None:
+        out = _search(base, first, window, columns)
     else:
         key = ["__h1", "__h2"]
         keyed = base.withColumns({"__h1": F.xxhash64("__text"), "__h2": F.xxhash64(F.lit(1), F.col("__text"))})
-        parts = [_search(keyed, b, window, [*columns, *key]).withColumn("__block", F.lit(n)) for n, b in enumerate(blocks)]
-        union = parts[0]
-        for part in parts[1:]:
-            union = union.unionByName(part)
+        union = _search(keyed, first, window, [*columns, *key]).withColumn("__block", F.lit(0))
+        for n, block in enumerate(chain([second], blocks), 1):
+            union = union.unionByName(_search(keyed, block, window, [*columns, *key]).withColumn("__block", F.lit(n)))
         # Equal rows meet in one group; the first block tells how many of them there are.
         out = (
             union.groupBy(*columns, *key)
