@@ -4,9 +4,10 @@ A document is split at ``\\n``. The key of a line is the line without white spac
 with A-Z lower-cased. Pass one explodes the distinct key hashes of each document and counts them,
 so a hash's count is its number of documents; partial sums are formed before the shuffle, which
 keeps a very common line cheap. Pass two joins the positions of all lines with the hashes over the
-threshold and gathers the positions to drop for each document. The joins are plain equi-joins, so
-adaptive execution splits skewed sides and broadcasts the frequent hashes only where their measured
-size allows it. The text itself is shuffled at most once, in the last join.
+threshold and gathers the positions to drop for each document. The frequent hashes are written first:
+their size is then known, so they are broadcast only where it allows that, and else both sides of the
+join come straight from their shuffles, where adaptive execution splits the places of a very common
+line. The text itself is shuffled at most once, in the last join.
 
 Defined results: each row is a document of its own, also where ids are null or repeat. A null text
 counts as one empty line for the counts and stays null in ``kept``; an empty text is one empty line.
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, column, lower_ascii
+from .common import BLANKS, Scratch, column, lower_ascii
 
 
 def _line_hashes(text: Column, min_chars: int) -> Column:
@@ -50,7 +51,8 @@ def dedup_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_doc
     kept_columns = [f"__c{n}" for n in range(len(names))]
     docs = docs.select(column(id).alias("__id"), column(text).alias("__text"), *(column(c).alias(k) for c, k in zip(names, kept_columns, strict=True)))
     docs = docs.withColumns({"__k1": F.xxhash64("__text"), "__k2": F.xxhash64(F.lit(1), F.col("__text"))})
-    frequent = frequent_lines(docs, "__text", min_docs, min_chars).select(F.col("line_hash").alias("__hash"))
+    # Written, so that its size is known: Spark broadcasts it only where it is small, and splits a hot line where not.
+    frequent = Scratch(docs.sparkSession, "lines").keep(frequent_lines(docs, "__text", min_docs, min_chars)).select(F.col("line_hash").alias("__hash"))
     # A row is known by its id and two hashes of its text; rows equal in all of these lose the same lines.
     dropped = (
         docs.select("__id", "__k1", "__k2", F.posexplode(_line_hashes(F.col("__text"), max(1, min_chars))).alias("__pos", "__hash"))
