@@ -15,8 +15,11 @@ bounded by that parameter. Scoring is a pass over the documents without a shuffl
 
 Defined results: a null or empty text has no features and gets the models' base probabilities. Labels
 of one id are combined by their maximum; ids without all categories, and labels without id, aren't
-used. A category with one class only is predicted by its smoothed rate. Rows that repeat are scored
-alike. An empty table gives an empty table.
+used. Of several texts of one labelled id the one of the least hash is learned from; a null text among
+them only if there is no other. A category with one class only is predicted by its smoothed rate. Rows
+that repeat are scored alike, each by its own text. A long text is hashed in groups of words, so beside
+its bytes it needs some bytes for each word. An empty table gives an empty table. Extra columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, ship, tidy, utf8
-from .rolling import prefix_hashes, ranges
+from .common import column, mix, ship, slices, tidy
+from .rolling import grouped, range_hashes
 
 PLACES, CHOSEN, FOLDS, RIDGE = 1 << 18, 4096, 5, 1.0
 BEGINNINGS = (4, 5, 6)
@@ -46,18 +49,20 @@ def features(texts: list[bytes], chosen: np.ndarray | None = None) -> tuple[np.n
     inside[1:-1] = _LETTER[data]
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     start, stop = edges[::2], edges[1::2]
-    prefix, row = prefix_hashes(data), np.searchsorted(begins, start, "right") - 1
-    rows, places = [], []
-    for k, most in enumerate((None, *BEGINNINGS)):
-        at = np.arange(len(start)) if most is None else np.flatnonzero(stop - start >= most)
-        end = stop if most is None else start + most
-        place = (mix(ranges(prefix, start[at], end[at]) + np.uint64(k)) >> np.uint64(64 - 18)).astype(np.int64)
-        if chosen is not None:
-            place = chosen[place]
-            at, place = at[place >= 0], place[place >= 0]
-        rows.append(row[at])
-        places.append(place)
-    both = np.unique(np.concatenate(rows) * PLACES + np.concatenate(places))
+    found = [np.empty(0, np.int64)]
+    for a, b in grouped(start, stop):
+        whole = range_hashes(data, start[a:b], stop[a:b])
+        row = np.searchsorted(begins, start[a:b], "right") - 1
+        for k, most in enumerate((None, *BEGINNINGS)):
+            at = np.arange(b - a) if most is None else np.flatnonzero(stop[a:b] - start[a:b] >= most)
+            hashes = whole if most is None else range_hashes(data, start[a:b][at], start[a:b][at] + most)
+            place = (mix(hashes + np.uint64(k)) >> np.uint64(64 - 18)).astype(np.int64)
+            own = row[at]
+            if chosen is not None:
+                place = chosen[place]
+                own, place = own[place >= 0], place[place >= 0]
+            found.append(np.unique(own * PLACES + place))
+    both = np.unique(np.concatenate(found))
     return both // PLACES, both % PLACES
 
 
@@ -138,23 +143,25 @@ def learn(docs: DataFrame, labels: DataFrame, categories: Sequence[str], id: str
     """The chain, fit on labelled documents."""
     spark = docs.sparkSession
     ship(spark)
-    each = [F.max(F.col(c).cast("int")).alias(f"y{k}") for k, c in enumerate(categories)]
-    known = labels.filter(F.col(id).isNotNull()).groupBy(F.col(id).cast("long").alias("label_id")).agg(*each).dropna()
+    each = [F.max(column(c).cast("int")).alias(f"y{k}") for k, c in enumerate(categories)]
+    known = labels.filter(column(id).isNotNull()).groupBy(column(id).cast("long").alias("label_id")).agg(*each).dropna()
     n = known.count()
     if n > max_train:
         known = known.filter(F.pmod(F.xxhash64("label_id"), F.lit(1 << 20)) < F.lit(int((1 << 20) * max_train / n)))
-    sample = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(known), F.col("id") == F.col("label_id"))
+    sample = docs.select(column(id).cast("long").alias("id"), column(text).alias("text")).join(F.broadcast(known), F.col("id") == F.col("label_id"))
     columns = [f"y{k}" for k in range(len(categories))]
+    # One text for an id: that of the least hash.
+    sample = sample.groupBy("id", *columns).agg(F.min_by("text", F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text"), "text"))).alias("text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
-            row, place = features(utf8(batch.column("text")))
+        for batch, texts in slices(batches, "text", 2 << 20, 500):
+            row, place = features(texts)
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             packed = pa.array([place[a:b].astype(np.int32).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(c) for c in columns), packed], ["id", *columns, "places"])
 
     found = sample.select("id", *columns, "text").mapInArrow(tidy(rows), "id long, " + ", ".join(f"{c} int" for c in columns) + ", places binary").toPandas()
-    found = found.drop_duplicates("id").sort_values("id")
+    found = found.sort_values("id")
     ids, y = found["id"].to_numpy(), found[columns].to_numpy()
     flat = np.frombuffer(b"".join(found["places"]), np.int32)
     size = found["places"].str.len().to_numpy(np.int64) // 4
@@ -183,13 +190,13 @@ def predict_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[st
         used, weights, rest = shared.value
         number = np.full(PLACES, -1)
         number[used] = np.arange(len(used))
-        for batch in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
+        for batch, texts in slices(batches, "text", 2 << 20, 500):
             n = batch.num_rows
-            row, place = features(utf8(batch.column("text")), number)
+            row, place = features(texts, number)
             p = np.zeros((n, 0))
             for w, (earlier, base) in zip(weights, rest, strict=True):
                 p = np.column_stack([p, 1 / (1 + np.exp(-(np.bincount(row, w[place], n) + p @ earlier + base)))])
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(p[:, k]) for k in range(len(names)))], ["id", *names])
 
     schema = T.StructType([T.StructField("id", docs.schema[id].dataType), *(T.StructField(c, T.DoubleType()) for c in names)])
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(tidy(rows), schema).withColumnRenamed("id", id)
+    return docs.select(column(id).alias("id"), column(text).alias("text")).mapInArrow(tidy(rows), schema).withColumnRenamed("id", id)
