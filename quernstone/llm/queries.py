@@ -33,6 +33,29 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP2_SQL = rf"""
+with items as (
+  select item_id::varchar as item, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (
+  select distinct item, least(13, len(w)) as n, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') as k
+  from items, unnest(range(1, greatest(len(w) - 12, 1) + 1)) as t(i) where len(w) > 0),
+docs as (
+  select row_number() over () as r, doc_id, regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+places as (
+  select r, n, i, array_to_string(list_slice(w, i, i + n - 1), ' ') as k
+  from docs, (select distinct n from windows) as sizes, unnest(range(1, len(w) - n + 2)) as t(i)),
+found as (select p.r, p.n, p.i, x.item from places p join windows x on p.n = x.n and p.k = x.k),
+hits as (select r, count(distinct j) as n_hit from (select r, unnest(range(i, i + n)) as j from found) group by r),
+named as (
+  select r, count(*) as n_items, string_agg(item, ',' order by item) as items
+  from (select distinct r, item from found where item is not null) group by r)
+select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs left join hits using (r) left join named using (r)
+"""
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict on every page. A page's outcome is that of the document whose id its path ends in:
     bad if that document is labelled as of low quality or toxic."""
@@ -42,7 +65,9 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = table(spark, sf_dir, "labels").filter("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(bad.alias("bad"))
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     pages = pages.withColumn("doc", F.regexp_extract(url_path(F.col("url")), "/([0-9]{1,18})", 1).try_cast("long"))
-    labelled = pages.join(outcomes, pages["doc"] == outcomes["doc_id"], "left").select("page_id", "url", "bad")
+    # Pages without a document have no part in the join, where they would all meet under one key.
+    named = pages.filter("doc is not null").join(outcomes, F.col("doc") == F.col("doc_id"), "left").select("page_id", "url", "bad")
+    labelled = named.union(pages.filter("doc is null").select("page_id", "url", F.lit(None).cast("int")))
     return filter_urls(labelled, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -60,9 +85,14 @@ outcomes as (
   from labels where doc_id is not null and (quality is not null or toxic is not null) group by doc_id),
 labelled as (
   select l.page_id, l.host, l.path, o.bad,
-         array_to_string(list_slice(string_split(l.host, '.'), -2, -1), '.') as domain,
-         string_split(l.host, '.')[-1] as suffix
-  from lowered l left join outcomes o on l.doc = o.doc_id),
+         case when address then bare when country then array_to_string(list_slice(string_split(bare, '.'), -3, -1), '.')
+              else array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.') end as domain,
+         case when address then '' when country then array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.')
+              else string_split(bare, '.')[-1] end as suffix
+  from (select *, regexp_full_match(bare, '[0-9.]+') or starts_with(bare, '[') as address,
+               regexp_full_match(bare, '(.*\.)?(ac|co|com|edu|go|gov|ltd|mil|ne|net|nhs|or|org|plc|sch)\.[a-z][a-z]') as country
+        from (select *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as bare from lowered)) l
+  left join outcomes o on l.doc = o.doc_id),
 hosts as (select host, domain, suffix, count(bad) as n, coalesce(sum(bad), 0) as k from labelled group by all),
 top as (select (coalesce(sum(k), 0) + 1) / (coalesce(sum(n), 0) + 2) as m from hosts),
 suffix_sums as (select suffix, sum(n) as n, sum(k) as k, any_value(m) as m from hosts, top group by suffix),
@@ -122,6 +152,27 @@ def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+OP7_SQL = r"""
+with docs as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+strings as (
+  select doc_id, i, md5_number(substr(h, 2 * i + 1, 200)) as s from docs, unnest(range(0, length(h) // 2 - 99)) as t(i)),
+again as (
+  select doc_id, i from (select doc_id, i, row_number() over (partition by s order by doc_id, i) as k from strings) where k > 1),
+marked as (
+  select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 100 then 0 else 1 end as new from again),
+numbered as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from marked),
+runs as (select doc_id, min(i) as a, max(i) + 100 as b from numbered group by doc_id, run),
+gaps as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from runs),
+cut as (
+  select g.doc_id, sum(b - a) as n_removed, count(*) as n_spans, max(b) as last,
+         string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' order by a) as kept
+  from gaps g join docs d on g.doc_id = d.doc_id group by g.doc_id)
+select d.doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
+from docs d left join cut c on d.doc_id = c.doc_id
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import dedup_lines
 
@@ -161,9 +212,27 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_groups(table(spark, sf_dir, "documents"))
 
 
+OP10_SQL = rf"""
+with recursive docs as (
+  select doc_id, regexp_extract_all({_LOWERED}, '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(list_slice(w, i, i + 4), ' ') as k
+  from docs, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as t(i) where len(w) > 0),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+shared as (select x.doc_id as a, y.doc_id as b, count(*) as common from shingles x join shingles y on x.k = y.k and x.doc_id < y.doc_id group by 1, 2),
+links as (
+  select a, b from shared join sizes p on a = p.doc_id join sizes q on b = q.doc_id where 100 * common >= 80 * (p.n + q.n - common)),
+edges as (select a, b from links union all select b, a from links),
+reach(a, b) as (select distinct a, a from edges union select r.a, e.b from reach r join edges e on r.b = e.a),
+least_ as (select a, min(b) as c from reach group by a)
+select doc_id, coalesce(n, 0) as n_shingles, coalesce(c, doc_id) as component_id
+from docs left join sizes using (doc_id) left join least_ on doc_id = a
+"""
+
+
 def queries() -> dict:
     return {"op4_nearest_neighbours": op4_nearest_neighbours, "op6_toxicity": op6_toxicity, "op7_suffix_dedup": op7_suffix_dedup, "op10_ngram_jaccard": op10_ngram_jaccard, "op1_token_counts": op1_token_counts, "op2_decontamination": op2_decontamination, "op9_language_id": op9_language_id, "op3_url_filter": op3_url_filter, "op5_byte_bpe": op5_byte_bpe, "op8_line_dedup": op8_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": OP3_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op2_decontamination": OP2_SQL, "op3_url_filter": OP3_SQL, "op7_suffix_dedup": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_ngram_jaccard": OP10_SQL}

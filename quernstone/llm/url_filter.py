@@ -8,12 +8,14 @@ bad rate, mean minus ``z`` standard deviations of the beta posterior, is above `
 
 Explicit rules come first: the longest rule that fits a url decides. Only sums travel to the driver:
 one row of moments for each of the three levels. Host sums are formed before the shuffle, so a host
-with a third of all pages costs no more than others; adaptive execution splits the join back.
+with a third of all pages costs no more than others; adaptive execution splits the join back. Host and
+path are those of the url as they stand; for the reputation alone, user information and port are left out
+of the domain, and a country's second level (``co.uk``) counts as a suffix.
 
 Defined results: a null url, or one without ``://``, has an empty host and path; it then has the
 reputation of the empty host. Pages without outcome add nothing to the sums. Rows that repeat count
 as often as they stand there. Among rules of equal length that fit, block wins. An empty table gives
-an empty table. All input columns are kept; those named like an output are replaced.
+an empty table. All input columns are kept, whatever their names; those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -23,10 +25,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, lower_ascii
+from .common import Scratch, column, lower_ascii
 
 #: (host, path, verdict)
 Rule = tuple[str, str, str]
+#: Labels that, before a country's two letters, belong to the suffix. No list of public suffixes is at hand.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gov", "ltd", "mil", "ne", "net", "nhs", "or", "org", "plc", "sch")
 #: Bounds of the within-level correlation that the moments may give.
 RHO_LOW, RHO_HIGH = 1e-4, 0.99
 
@@ -45,12 +49,29 @@ def url_path(url: Column) -> Column:
     return F.when(at > 0, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)).otherwise("")
 
 
+def _bare(host: Column) -> Column:
+    """A host without user information and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
+
+
+def _is_address(bare: Column) -> Column:
+    return bare.rlike(r"^[0-9.]+$") | bare.startswith("[")
+
+
+def _under_country(bare: Column) -> Column:
+    return F.substring_index(bare, ".", -2).rlike(rf"^({'|'.join(SECOND_LEVEL)})\.[a-z][a-z]$")
+
+
 def registered_domain(host: Column) -> Column:
-    return F.substring_index(host, ".", -2)
+    """One label more than the suffix; of a numeric address all of it."""
+    bare = _bare(host)
+    return F.when(_is_address(bare), bare).when(_under_country(bare), F.substring_index(bare, ".", -3)).otherwise(F.substring_index(bare, ".", -2))
 
 
 def host_suffix(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+    """The last label, or the last two where these are a country's second level; empty for a numeric address."""
+    bare = _bare(host)
+    return F.when(_is_address(bare), "").when(_under_country(bare), F.substring_index(bare, ".", -2)).otherwise(F.substring_index(bare, ".", -1))
 
 
 def match_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
@@ -102,13 +123,15 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", bad:
     """``pages`` with host, path, rule, verdict and bad_low. ``bad`` names a column: 1 bad, 0 good, null unlabelled."""
     taken = {"host", "path", "rule", "verdict", "bad_low"}
     rest = [c for c in pages.columns if c not in taken]
-    parsed = pages.withColumns({"__host": url_host(F.col(url)), "__path": url_path(F.col(url))}).select(*rest, "__host", "__path")
-    hosts = parsed.groupBy(F.col("__host").alias("host")).agg(F.count(bad).alias("n"), F.coalesce(F.sum(F.col(bad).cast("long")), F.lit(0)).alias("k"))
-    hosts = Scratch(pages.sparkSession, "hosts").keep(hosts)
-    low = host_reputation(hosts, z).select(F.col("host").alias("__h"), F.col("low").alias("__low"))
+    names = [f"__c{n}" for n in range(len(rest))]
+    parsed = pages.select(url_host(column(url)).alias("__host"), url_path(column(url)).alias("__path"), column(bad).cast("long").alias("__bad"), *(column(c).alias(k) for c, k in zip(rest, names, strict=True)))
+    hosts = parsed.groupBy(F.col("__host").alias("host")).agg(F.count("__bad").alias("n"), F.coalesce(F.sum("__bad"), F.lit(0)).alias("k"))
+    scratch = Scratch(pages.sparkSession, "hosts")
+    # Written, so that the join below knows its size and can split the pages of a very large host.
+    low = scratch.keep(host_reputation(scratch.keep(hosts), z).select(F.col("host").alias("__h"), F.col("low").alias("__low")))
     judged = parsed.withColumn("__rule", match_rule(F.col("__host"), F.col("__path"), rules)).join(low, F.col("__host") == F.col("__h"), "left")
     return judged.select(
-        *rest,
+        *(F.col(k).alias(c) for c, k in zip(rest, names, strict=True)),
         F.col("__host").alias("host"),
         F.col("__path").alias("path"),
         F.col("__rule.rule").alias("rule"),
