@@ -48,6 +48,26 @@ def test_reputation(spark):
     assert low["d.y.com"].mean < low["b.x.com"].mean < 1
 
 
+def test_domains(spark):
+    rows = [
+        ("www.bbc.co.uk", "bbc.co.uk", "co.uk"), ("bbc.co.uk", "bbc.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk"), ("a.b.example.com", "example.com", "com"),
+        ("user:pw@shop.example.de:8080", "example.de", "de"), ("co.com", "co.com", "com"), ("10.0.0.1", "10.0.0.1", ""), ("10.0.0.1:80", "10.0.0.1", ""), ("localhost", "localhost", "localhost"), ("", "", ""),
+    ]
+    df = spark.createDataFrame([r[:1] for r in rows], "host string")
+    got = {r.host: (r.d, r.s) for r in df.select("host", url_filter.registered_domain(F.col("host")).alias("d"), url_filter.host_suffix(F.col("host")).alias("s")).collect()}
+    assert got == {h: (d, s) for h, d, s in rows}
+
+
+def test_urls_of_untidy_tables(spark):
+    rows = [("http://a.net/x", 1), ("http://a.net/x", 1), ("http://b.com/", None), (None, 0)]
+    pages = spark.createDataFrame(rows, "url string, bad int").withColumns({c: F.lit(k) for k, c in enumerate(["__h", "__low", "__host", "__path", "__rule", "__c0", "a.b", "rule"])})
+    rules = [("net", "/", "allow"), ("net", "/", "block"), ("b.com", "/", "block"), ("b.com", "/", "allow"), ("com", "", "allow")]
+    out = url_filter.filter_urls(pages, rules)
+    assert out.columns == ["url", "bad", "__h", "__low", "__host", "__path", "__rule", "__c0", "a.b", "host", "path", "rule", "verdict", "bad_low"]
+    got = sorted((r.url or "", r.rule, r.verdict, r["__low"], r["a.b"]) for r in out.collect())
+    assert got == [("", None, "allow", 1, 6), ("http://a.net/x", "net/", "block", 1, 6), ("http://a.net/x", "net/", "block", 1, 6), ("http://b.com/", "b.com/", "block", 1, 6)]
+
+
 def nearest(rows, query, k=10):
     x = dict(rows)[query]
     return sorted((float(np.sqrt(((np.array(x) - np.array(v)) ** 2).sum())), i) for i, v in rows if i != query)[:k]
@@ -92,7 +112,22 @@ def test_recall(spark, monkeypatch):
     assert hit >= 0.9 * 400
 
 
-@pytest.mark.parametrize("copies,parts", [(1, 256), (13, 16)])
+def check_recall(df, x, condition, queries, spark_search, least):
+    """Every query has its ten rows with exact scores; the share of the true ten that is found."""
+    got, hit = {}, 0
+    for r in spark_search(df, condition).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+    assert set(got) == set(queries)
+    for q, found in got.items():
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        assert [n for n, _, _ in sorted(found)] == list(range(1, 11))
+        assert [s for _, s, _ in sorted(found)] == pytest.approx([d[v] for _, _, v in sorted(found)])
+        hit += len(set(np.lexsort((np.arange(len(x)), d))[:10].tolist()) & {v for _, _, v in found})
+    assert hit >= least * 10 * len(got)
+
+
+@pytest.mark.parametrize("copies,parts", [(1, 256), (13, 64)])
 def test_the_router_runs_at_most_partitions(spark, monkeypatch, copies, parts):
     rng, n, asked = np.random.default_rng(3), 26_000, []
     centres = rng.standard_normal((200, 8)) * 2
@@ -101,16 +136,50 @@ def test_the_router_runs_at_most_partitions(spark, monkeypatch, copies, parts):
     monkeypatch.setattr(neighbours, "PART_ROWS", 100)
     monkeypatch.setattr(neighbours, "learn", lambda x, parts, *a: asked.append((len(x), parts)) or learn(x, parts, *a))
     df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {}
-    for r in neighbours.search(df, "vec_id % 400 = 0").collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
+    check_recall(df, x, "vec_id % 400 = 0", range(0, n, 400), neighbours.search, 0.9)
     assert [p for _, p in asked] == [parts] and asked[0][0] >= neighbours.EACH * parts
-    hit = 0
-    for q in range(0, n, 400):
-        d = np.sqrt(((x - x[q]) ** 2).sum(1))
-        d[q] = np.inf
-        hit += len(set(np.lexsort((np.arange(n), d))[:10].tolist()) & got[q])
-    assert hit >= 0.9 * 10 * len(got) and len(got) == 65
+
+
+def test_partitions_of_partitions(spark, monkeypatch):
+    rng, n, cells = np.random.default_rng(6), 8_000, []
+    centres = rng.standard_normal((60, 8)) * 2
+    x = centres[rng.integers(0, 60, n)] + rng.standard_normal((n, 8))
+    x[3000:5500] = x[3000]  # one vector in a third of all rows
+    monkeypatch.setattr(neighbours, "PART_ROWS", 100)
+    monkeypatch.setattr(neighbours, "MOST", 4)
+    monkeypatch.setattr(neighbours, "LEAST", 4)
+    monkeypatch.setattr(neighbours, "BATCH", 500)
+    second = neighbours._second_level
+
+    def seen(*a):
+        out = second(*a)
+        cells.extend(r["cell"] for r in out.select("cell").distinct().collect())
+        return out
+
+    monkeypatch.setattr(neighbours, "_second_level", seen)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    check_recall(df, x, "vec_id % 100 = 0", range(0, n, 100), neighbours.search, 0.9)
+    assert len(cells) > 8 and max(cells) < 16
+
+
+def test_repeated_and_lonely_queries(spark, monkeypatch):
+    rng, asked = np.random.default_rng(8), []
+    x = rng.standard_normal((300, 4)) + 20
+    x[:3] = [[-50, 0, 0, 0], [-51, 0, 0, 0], [-52, 0, 0, 0]]  # a far corner with fewer than ten rows
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    learn = neighbours.learn
+    monkeypatch.setattr(neighbours, "learn", lambda x, parts, k, target: asked.append(parts) or (learn(x, parts, k, target)[0], 1))
+    df = spark.createDataFrame([*rows, rows[100], rows[100], rows[7], (200, [0.5] * 4), (9, rows[8][1])], "vec_id long, embedding array<double>").withColumn("h", F.lit(1))
+    got = {}
+    for r in neighbours.search(df, "vec_id % 100 = 0").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+    assert asked and asked[0] > 1
+    assert {q: len(found) for q, found in got.items()} == {0: 10, 100: 10, 200: 20}
+    for found in got.values():
+        assert len({(s, v) for _, s, v in found}) == len(found)
+    assert [v for _, _, v in sorted(got[0])][:2] == [1, 2]
+    two = [(v, n) for n, v in sorted((n, v) for n, _, v in got[200])]
+    assert sorted(n for _, n in two) == sorted([*range(1, 11)] * 2)
 
 
 def test_partitions_are_balanced():
@@ -183,9 +252,12 @@ def test_repeats_of_untidy_ids(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = [(r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(df).collect()]
     assert len(out) == 5
-    assert sorted(x for x in out if x[0] is None) == sorted([(None, len(a.encode()), len(a.encode())), (None, len(b.encode()), len(b.encode()))], key=lambda x: x[1])
-    same = [x for x in out if x[0] == 1 and x[1] == len(a.encode())]
-    assert len(same) == 2 and same[0] == same[1]
+    la, lb = len(a.encode()), len(b.encode())
+    assert sorted(x[1:] for x in out if x[0] is None) == sorted([(la, la), (lb, lb)])
+    # Of the two texts of id 1 the later one, by a hash, loses what both hold; equal rows lose the same.
+    same = [x for x in out if x[0] == 1 and x[1] == la]
+    other = [x for x in out if x[0] == 1 and x[1] == lb]
+    assert len(same) == 2 and same[0] == same[1] and sorted([same[0][2] > 0, other[0][2] > 0]) == [False, True]
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
@@ -256,10 +328,12 @@ def test_components(spark, monkeypatch, small):
 def test_components_of_untidy_tables(spark):
     rows = [(5, "a b c d e f"), (5, "a b c d e f"), (3, "A B C D E F"), (5, "q r s t u"), (9, "q r s t u"), (None, "q r s t u")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {(r.doc_id, r.component_id) for r in jaccard_join.similar_groups(df).collect()} >= {(3, 3), (5, 3), (None, None)}
+    # The two texts of 5 are one document, so it links 3 and 9.
+    groups = sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(df).collect())
+    assert groups == [(-1, 1, None), (3, 2, 3), (5, 1, 3), (5, 2, 3), (5, 2, 3), (9, 1, 3)]
     kept = jaccard_join.keep_one_of_each(df.withColumn("__stay", F.lit(1)))
     assert kept.columns == ["doc_id", "text", "__stay"]
-    assert sorted(r.doc_id or -1 for r in kept.collect())[:2] == [-1, 3]
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "q r s t u"), (3, "A B C D E F"), (5, "q r s t u")]
     assert jaccard_join.similar_groups(df.limit(0)).count() == 0
 
 
@@ -284,22 +358,70 @@ def test_label_propagation(spark):
     assert got == parent
 
 
-def test_r_tree_finds_all_that_the_bound_allows():
+def test_r_tree_finds_all_that_the_bound_allows(monkeypatch):
     rng = np.random.default_rng(4)
     points = rng.integers(0, 5, (300, jaccard_join.GROUPS)).astype(np.uint8)
     points[150:] = points[:150] + rng.integers(0, 2, (150, jaccard_join.GROUPS))
     sizes = points.sum(1).astype(np.int64)
-    tree = jaccard_join.RTree(points, sizes)
+    want = set()
     for k in range(300):
         fits = (9 * np.minimum(points, points[k]).sum(1) >= 4 * (sizes + sizes[k])) & (5 * sizes >= 4 * sizes[k]) & (5 * sizes[k] >= 4 * sizes)
-        assert set(tree.near(points[k], int(sizes[k])).tolist()) == set(np.flatnonzero(fits).tolist())
-        pairs = {(k, j) for k in range(300) for j in tree.near(points[k], int(sizes[k])).tolist() if k < j} if k == 0 else pairs
-    assert set(tree.pairs()) == pairs
+        want |= {(k, j) for j in np.flatnonzero(fits).tolist()}
+    for fan, at_once in ((4, 20_000), (16, 70), (2, 1)):
+        monkeypatch.setattr(jaccard_join, "FAN", fan)
+        monkeypatch.setattr(jaccard_join, "AT_ONCE", at_once)
+        tree = jaccard_join.RTree(points, sizes)
+        assert len(tree.levels) > 2
+        for few in (slice(0, 300), slice(145, 150), slice(7, 7)):
+            who, at = tree.near(points[few], sizes[few])
+            assert sorted(zip((who + few.start).tolist(), at.tolist(), strict=True)) == sorted(x for x in want if few.start <= x[0] < few.stop)
     wide = [np.full(jaccard_join.GROUPS, x).astype(t).tobytes() for x, t in ((3, np.uint8), (300, np.uint16), (70_000, np.uint32))]
     assert jaccard_join._read_points(wide)[:, 0].tolist() == [3, 300, 70_000] and jaccard_join._read_points(wide[:1])[0, 5] == 3
     assert [len(x) for x in jaccard_join._points(np.zeros(300, np.uint64), np.array([0, 10, 300]))] == [jaccard_join.GROUPS, 2 * jaccard_join.GROUPS]
-    few = jaccard_join.RTree(points[145:155], sizes[145:155])
-    assert {(a + 145, b + 145) for a, b in few.pairs()} == {(a, b) for a, b in pairs if 145 <= a and b < 155}
+
+
+def test_pairs_of_a_bucket_that_spans_batches():
+    """Small buckets give all pairs the bound allows, large ones those with the first classes of each band."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 4, jaccard_join.GROUPS).astype(np.uint8)
+    rows = []
+    for bucket, m in ((1, 5), (2, 40), (3, 1), (4, 8)):
+        for k in range(m):
+            point = base.copy()
+            point[k % 7] += 1
+            rows.append((bucket, m, 100 * bucket + k, int(point.sum()), k + 1000 * bucket, point.tobytes()))
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[a:b], strict=True)], ["bucket", "m", "c", "n", "rep", "point"]) for a, b in ((0, 3), (3, 6), (6, 30), (30, len(rows)))]
+    got = {(a, b) for batch in jaccard_join._first_pairs(iter(batches)) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)}
+    small = {(1000 * g + i, 1000 * g + j) for g, m in ((1, 5), (4, 8)) for i in range(m) for j in range(i + 1, m)}
+    assert {x for x in got if x[0] // 1000 != 2} == small
+    large = {x for x in got if x[0] // 1000 == 2}
+    assert {i for x in large for i in x} == set(range(2000, 2040)) and len(large) <= 40 * jaccard_join.PIVOTS * 3
+
+
+def test_range_hashes_do_not_depend_on_the_groups(monkeypatch):
+    data = np.frombuffer(random.Random(1).randbytes(3000), np.uint8)
+    start, stop = np.array([0, 5, 40, 900, 2950]), np.array([5, 40, 900, 2940, 3000])
+    want = rolling.ranges(rolling.prefix_hashes(data), start, stop).tolist()
+    for size in (1, 7, 64, 5000):
+        monkeypatch.setattr(rolling, "CHUNK", size)
+        assert rolling.range_hashes(data, start, stop).tolist() == want
+
+
+def test_very_long_texts(spark, monkeypatch):
+    """Texts of many times the size that is hashed at once."""
+    rng = random.Random(12)
+    monkeypatch.setattr(rolling, "CHUNK", 100)
+    text = " ".join(f"w{rng.randrange(50)}" * rng.choice([1, 1, 1, 90]) for _ in range(300)).encode()
+    small = [(x.tolist(), y.tolist()) for x, y in [rolling.shingle_sets([text, b"", b"a b"])]]
+    monkeypatch.setattr(rolling, "CHUNK", 1 << 22)
+    assert small == [(x.tolist(), y.tolist()) for x, y in [rolling.shingle_sets([text, b"", b"a b"])]]
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 500)
+    words = ["".join(rng.choice("abcdefgh ") for _ in range(130)) for _ in range(12)]
+    rows = [(k, "".join(rng.choices(words, k=40))) for k in range(6)] + [(9, "x" * 3000)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_repeats(rows, 100)
 
 
 def test_pipeline(spark, tmp_path):

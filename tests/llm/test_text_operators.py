@@ -122,6 +122,33 @@ def test_full_index_fuzz():
                 assert got.get(k, []) == [i for i in range(len(s) - n + 1) if (s[i : i + n] == w[k]).all()]
 
 
+def test_contamination_across_shards(monkeypatch):
+    """Documents longer than a shard, and texts split in pieces."""
+    rng = random.Random(7)
+    items = [("i1", " ".join(rng.choice("abc") for _ in range(6)).encode()), ("i2", b"a b")]
+    texts = [" ".join(rng.choice(["a", "b", "c", "zz", "y y"]) for _ in range(n)).encode() for n in (200, 3, 0, 90)]
+    found = []
+    for shard, piece in ((1_000_000, 1 << 20), (7, 10), (50, 3)):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", shard)
+        monkeypatch.setattr(decontaminate, "PIECE", piece)
+        held = decontaminate._Shard(decontaminate.Windows(items, 4))
+        held.add(texts[:3])
+        held.add(texts[3:])
+        spans, names = held.spans()
+        found.append((held.n_words, spans, names))
+    assert found[0] == found[1] == found[2]
+    for t, n, spans, names in zip(texts, *found[0], strict=True):
+        assert (n, sum(x["end"] - x["start"] for x in spans), names) == brute_hits(t.decode(), [(i, b.decode()) for i, b in items], 4)
+
+
+def test_a_long_text_against_a_benchmark(spark):
+    item = " ".join(f"q{k}" for k in range(30))
+    rows = [(1, "pad " * 400_000 + item + " pad" * 400_000), (2, item)]
+    got = {r.doc_id: r for r in decontaminate.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()}
+    assert (got[1].n_words, got[1].n_hit, list(got[1]["items"])) == (800_030, 30, ["5"]) and (got[1].spans[0].start, got[1].spans[0].end) == (400_000, 400_030)
+    assert got[2].n_hit == 30
+
+
 @pytest.fixture(scope="module")
 def tik():
     ranks = bpe.read_ranks(open(RANKS, "rb").read())
@@ -356,11 +383,54 @@ def test_toxicity(spark, docs, empty):
     assert all((got[k] >= 0.5) == (k % 6 == 0) for k in range(0, 600, 2))
     assert sum((got[k] >= 0.5) == (k % 6 == 0) for k in held) >= 0.99 * len(held)
     assert got[700] == got[701] < 0.5 and got[None] > 0.5 and got[702] > 0.5
+    twice = spark.createDataFrame([*rows[:600], (0, "plain"), (0, "scumbag plain"), (0, None), (2, rows[2][1])], "doc_id long, text string")
+    again = [toxicity.predict_toxicity(twice.repartition(n), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ("quality", "toxic")) for n in (1, 5)]
+    one, two = (sorted((r.doc_id, round(r.p_toxic, 9)) for r in x.collect()) for x in again)
+    assert one == two and len(one) == 604
+    clash = toxicity.predict_toxicity(docs.withColumn("id", F.lit(1)).withColumn("y0", F.lit(2)), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ("toxic",))
+    assert clash.columns == ["doc_id", "p_toxic"] and clash.count() == len(ROWS)
     none = toxicity.predict_toxicity(docs, spark.createDataFrame([], "doc_id long, quality int, toxic int"), ("quality", "toxic"))
     assert {r.p_toxic for r in none.collect()} == {0.5}
     assert toxicity.predict_toxicity(empty, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ("toxic",)).count() == 0
 
 
+def test_chain_by_brute_force():
+    """The chain, refitted with plain matrices: later models learn from out-of-fold probabilities of earlier ones."""
+    import numpy as np
+
+    from quernstone.llm.common import mix
+
+    rng = np.random.default_rng(2)
+    n, used = 240, np.arange(40) * 5000 + 7
+    x = rng.random((n, len(used))) < 0.3
+    first = (x[:, :3].sum(1) + rng.random(n) > 1.6).astype(float)
+    second = ((first + x[:, 5] + rng.random(n)) > 1.7).astype(float)
+    ids = np.arange(n) * 3
+    rows, cols = np.nonzero(x)
+    chain = toxicity.fit_chain(ids, rows, used[cols], np.stack([first, second], 1))
+
+    def fit(x, earlier, y):
+        p1, p0, p = x[y == 1].mean(0), x[y == 0].mean(0), x.mean(0)
+        z = np.abs(p1 - p0) / np.sqrt(p * (1 - p) * (1 / y.sum() + 1 / (len(y) - y.sum())) + 1e-12)
+        chosen = (z > 2) & (x.sum(0) >= 3)
+        a = np.column_stack([x * chosen, earlier, np.ones(len(y))]).astype(float)
+        w, penalty = np.zeros(a.shape[1]), np.append(np.full(a.shape[1] - 1, toxicity.RIDGE), 0)
+        for _ in range(60):
+            q = 1 / (1 + np.exp(-a @ w))
+            w -= np.linalg.solve(a.T @ (a * (q * (1 - q))[:, None]) + np.diag(penalty) + 1e-9 * np.eye(len(w)), a.T @ (q - y) + penalty * w)
+        return lambda x, earlier: 1 / (1 + np.exp(-np.column_stack([x, earlier, np.ones(len(x))]) @ w))
+
+    none, fold = np.zeros((n, 0)), mix(ids.view(np.uint64)) % np.uint64(toxicity.FOLDS)
+    out = np.zeros((n, 1))
+    for f in range(toxicity.FOLDS):
+        out[fold == f, 0] = fit(x[fold != f], none[fold != f], first[fold != f])(x[fold == f], none[fold == f])
+    want_first = fit(x, none, first)(x, none)
+    want_second = fit(x, out, second)(x, want_first[:, None])
+    got_first = chain[0].predict(rows, used[cols], n, none)
+    assert got_first == pytest.approx(want_first, abs=1e-3)
+    assert chain[1].predict(rows, used[cols], n, got_first[:, None]) == pytest.approx(want_second, abs=1e-3)
+
+
 def test_word_pattern():
     assert re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower("Ab-C9 é_d")) == [w.decode() for w in decontaminate.words_of("Ab-C9 é_d".encode())]
 
