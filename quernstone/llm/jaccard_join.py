@@ -13,11 +13,12 @@ is at least 80 % of the union. The join finds the connected components of all li
     that of a set with any set below a node at most the sum of the minima with the node's upper corner;
     both must reach 4/9 of the summed sizes.
 5.  Surviving pairs are verified on the sets themselves, read again from the texts.
-6.  In a bucket of up to ``SMALL`` classes the tree holds them all. In a larger one it first holds a few
-    classes of each size band, so a group of near copies costs pairs in proportion to its rows. What the
-    verified links leave apart is then searched: classes outside a bucket's largest component, by size
-    band and in blocks, each block an R-tree that the bucket's classes of fitting bands are run against.
-    So no link between components is lost.
+6.  In a bucket of up to ``SMALL`` classes the tree holds them all, and if it leaves few pairs, these are
+    the bucket's. A bucket of near copies, which leaves many, and a larger one is searched for a few
+    classes of each size band first, so it costs pairs in proportion to its rows. What the verified
+    links then leave apart in it is searched again: classes outside the bucket's largest component, by
+    size band and in blocks, each block an R-tree that the bucket's classes of fitting bands are run
+    against. So no link between components is lost.
 7.  Components are found by label propagation with pointer jumping on written tables.
 
 Nothing of the size of the corpus reaches the driver: a bounded list of the most frequent places of a
@@ -38,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, column, mix, ship, slices, tidy
@@ -47,9 +48,9 @@ from .rolling import shingle_sets
 GROUPS = 512
 #: Bits of the table that counts shingles; of its places, how many most frequent ones are kept apart.
 TABLE_BITS, MOST_FREQUENT = 22, 100_000
-#: Classes in a bucket that are compared at once; points in a block; entries of a tree's node.
-SMALL, BLOCK, FAN = 8, 512, 4
-#: Classes of each size band that the others of a large bucket are first paired with, and the band's width.
+#: Classes in a bucket whose tree holds them all; points in a block; entries of a tree's node.
+SMALL, BLOCK, FAN = 64, 512, 4
+#: Classes of each size band that the others of a bucket of near copies are first paired with, and the band's width.
 PIVOTS, BAND = 6, 1.25
 #: Pairs of a point and a tree's node that are bounded at once.
 AT_ONCE = 20_000
@@ -268,16 +269,44 @@ def _classes(g: dict[str, np.ndarray]) -> list[tuple]:
 
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of classes that a search of an R-tree leaves: in small buckets the tree holds all classes, in
-    large ones the first classes of each size band. Rows come sorted by bucket and by a hash of the class,
-    so the buckets of one group of near copies have the same first classes."""
-    pairs, group, pivots = _Pairs(), None, None
+    """Pairs of classes that a search of an R-tree leaves. Of a bucket of up to SMALL classes the tree holds all;
+    if it leaves at most PIVOTS pairs for each class, these are all pairs of the bucket. Else, and in larger
+    buckets, each class is paired with the first classes of each size band only, and the bucket stays open:
+    a row with its number and no pair tells so. Rows come sorted by bucket and by a hash of the class, so the
+    buckets of one group of near copies have the same first classes."""
+    pairs, group, held, count = _Pairs(), None, [], {}
+    open_: list[int] = []
+
+    def pivots(g: dict[str, np.ndarray]) -> np.ndarray:
+        """Which rows are among the first of their band."""
+        out = []
+        for k, b in enumerate(np.floor(np.log(g["n"]) / math.log(BAND)).astype(np.int64).tolist()):
+            count[b] = count.get(b, 0) + 1
+            if count[b] <= PIVOTS:
+                out.append(k)
+        return np.array(out, np.int64)
 
     def small(g: dict[str, np.ndarray]) -> None:
-        n = g["n"].astype(np.int64)
+        n, row = g["n"].astype(np.int64), _classes(g)
         who, at = RTree(g["point"], n).near(g["point"], n)
-        row = _classes(g)
-        pairs.put(row, row, who[who < at], at[who < at])
+        who, at = who[who < at], at[who < at]
+        if len(who) > PIVOTS * len(n):
+            count.clear()
+            first = np.zeros(len(n), bool)
+            first[pivots(g)] = True
+            own = first[who] | first[at]
+            who, at = who[own], at[own]
+            open_.append(int(g["bucket"][0]))
+        pairs.put(row, row, who, at)
+
+    def take() -> pa.RecordBatch:
+        found = pairs.take()
+        if open_:
+            none = pa.nulls(len(open_), pa.int64()), pa.nulls(len(open_), pa.int32())
+            opened = pa.RecordBatch.from_arrays([none[0], pa.array(open_, pa.int64()), none[1], none[0], none[0], none[1]], found.schema.names)
+            open_.clear()
+            found = pa.Table.from_batches([found, opened]).combine_chunks().to_batches()[0]
+        return found
 
     for first, g in _groups(batches, ["bucket"]):
         if first and group is not None:
@@ -286,51 +315,59 @@ def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if g["m"][0] <= SMALL:
             group = g if group is None else {k: np.concatenate([group[k], x]) for k, x in g.items()}
             continue
-        n, row = g["n"].astype(np.int64), _classes(g)
         if first:
-            pivots, held = {}, []
-        band = np.floor(np.log(n) / math.log(BAND)).astype(np.int64).tolist()
-        for k, b in enumerate(band):
-            if pivots.get(b, 0) < PIVOTS:
-                pivots[b] = pivots.get(b, 0) + 1
-                held.append((row[k], g["point"][k]))
+            count.clear()
+            held.clear()
+            open_.append(int(g["bucket"][0]))
+        n, row = g["n"].astype(np.int64), _classes(g)
+        held += [(row[k], g["point"][k]) for k in pivots(g).tolist()]
         tree = RTree(np.stack([p for _, p in held]), np.array([x[2] for x, _ in held], np.int64))
         for k in range(0, len(row), 1000):
             who, at = tree.near(g["point"][k : k + 1000], n[k : k + 1000])
             pairs.put(row[k : k + 1000], [x for x, _ in held], who, at)
         if len(pairs) >= 50_000:
-            yield pairs.take()
+            yield take()
     if group is not None:
         small(group)
-    yield pairs.take()
+    yield take()
 
 
 def _rest_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs between components: rows sorted by bucket, band, block, side; side 0 is the block's tree."""
-    pairs, held, tree = _Pairs(), [], None
+    """Pairs between components: rows sorted by bucket, band, block, side. Those of side 0 are the block's tree
+    and are run against it as well as the others."""
+    pairs, held, tree, rows, block = _Pairs(), [], None, [], {}
+
+    def run(g: dict[str, np.ndarray], among: bool = False) -> Iterator[pa.RecordBatch]:
+        asked, n = _classes(g), g["n"].astype(np.int64)
+        for k in range(0, len(asked), 1000):
+            who, near = tree.near(g["point"][k : k + 1000], n[k : k + 1000])
+            apart = block["label"][near] != g["label"][k : k + 1000][who]
+            if among:
+                apart &= who + k < near
+            pairs.put(asked[k : k + 1000], rows, who[apart], near[apart])
+        if len(pairs) >= 50_000:
+            yield pairs.take()
+
+    def plant() -> Iterator[pa.RecordBatch]:
+        nonlocal tree, rows, block
+        block = {k: np.concatenate([x[k] for x in held]) for k in held[0]}
+        tree, rows = RTree(block["point"], block["n"].astype(np.int64)), _classes(block)
+        yield from run(block, among=True)
+
     for first, g in _groups(batches, ["bucket", "band", "block"]):
         if first:
+            if held and tree is None:
+                yield from plant()
             held, tree = [], None
-        for side in (0, 1):
-            at = g["side"] == side
-            if not at.any():
-                continue
-            own = {k: x[at] for k, x in g.items()}
-            if side == 0:
-                held.append(own)
-                continue
-            if not held:  # a block of the hash without a class
-                continue
+        inner = g["side"] == 0
+        if inner.any():
+            held.append({k: x[inner] for k, x in g.items()})
+        if held and not inner.all():
             if tree is None:
-                block = {k: np.concatenate([x[k] for x in held]) for k in own}
-                tree, rows = RTree(block["point"], block["n"].astype(np.int64)), _classes(block)
-            asked = _classes(own)
-            for k in range(0, len(asked), 1000):
-                who, near = tree.near(own["point"][k : k + 1000], own["n"][k : k + 1000].astype(np.int64))
-                apart = block["label"][near] != own["label"][k : k + 1000][who]
-                pairs.put(asked[k : k + 1000], rows, who[apart], near[apart])
-            if len(pairs) >= 50_000:
-                yield pairs.take()
+                yield from plant()
+            yield from run({k: x[~inner] for k, x in g.items()})
+    if held and tree is None:
+        yield from plant()
     yield pairs.take()
 
 
@@ -400,32 +437,40 @@ def similar_groups(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     dealt = docs.select("text").mapInArrow(tidy(_deal(frequent, parts)), "part int, packed binary")
     buckets = scratch.keep(dealt.repartition(parts, "part").mapInArrow(tidy(_buckets), "bucket long, m int, c long, n int").distinct())
     points = buckets.join(classes.filter("rep is not null"), ["c", "n"]).select("bucket", "m", "c", "n", "rep", "point")
-    pairs = scratch.keep(points.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("c"), "c", "n").mapInArrow(tidy(_first_pairs), _PAIR).distinct())
-    links = _verified(pairs, docs, scratch)
+    first = scratch.keep(points.repartition("bucket").sortWithinPartitions("bucket", F.xxhash64("c"), "c", "n").mapInArrow(tidy(_first_pairs), _PAIR).distinct())
+    links = _verified(first.filter("a is not null"), docs, scratch)
     labels = components(links, scratch)
 
-    # Classes of large buckets that the links so far leave apart.
+    # Classes of open buckets that the links so far leave apart.
     known = classes.select("c", "n", "rep", "point").join(labels, F.col("rep") == labels["node"], "left").select("c", "n", "rep", "point", F.coalesce("label", "rep").alias("label"))
-    large = scratch.keep(buckets.filter(F.col("m") > SMALL).select("bucket", "c", "n").join(known.filter("rep is not null"), ["c", "n"]))
-    by_label = large.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-    apart = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("major"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0").drop("others")
+    open_ = first.filter("a is null").select(F.col("ac").alias("open"))
+    large = scratch.keep(buckets.join(open_, F.col("bucket") == F.col("open"), "left_semi").select("bucket", "c", "n").join(known.filter("rep is not null"), ["c", "n"]))
     # Linked sizes differ by a factor of 1.25 at most, so a class meets its own band and the two beside it.
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(BAND)).cast("int")
-    rest = scratch.keep(large.join(apart, "bucket").withColumn("band", band))
-    inside = rest.filter("label <> major")
-    blocks = scratch.keep(inside.groupBy("bucket", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")))
-    inside = inside.join(blocks, ["bucket", "band"]).withColumn("block", F.pmod(F.xxhash64("c", "n"), F.col("blocks")).cast("int")).withColumn("side", F.lit(0))
-    run = rest.withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1))))).join(blocks, ["bucket", "band"])
-    run = run.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.lit(1))
-    columns = ["bucket", "band", "block", "side", "c", "n", "rep", "label", "point"]
-    both = inside.select(columns).union(run.select(columns))
-    more = scratch.keep(both.repartition("bucket", "band", "block").sortWithinPartitions("bucket", "band", "block", "side").mapInArrow(tidy(_rest_pairs), _PAIR).distinct())
+    by_label = large.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    apart = by_label.groupBy("bucket").agg(F.max_by("label", F.struct("k", "label")).alias("major"), (F.sum("k") - F.max("k")).alias("others")).filter("others > 0")
+    apart = scratch.keep(apart.withColumn("one", F.col("others") <= BLOCK).drop("others"))
+    others = large.select("bucket", "label", band.alias("band")).join(apart, "bucket").filter("label <> major").withColumn("band", F.when(F.col("one"), 0).otherwise(F.col("band")))
+    blocks = others.groupBy("bucket", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = blocks.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("band", "blocks"))).alias("blocks"))  # an entry for each band
+    rest = large.join(scratch.keep(apart.join(blocks, "bucket")), "bucket").withColumn("own", F.when(F.col("one"), 0).otherwise(band))
+    rest = rest.withColumn("at", F.when(F.col("label") != F.col("major"), F.pmod(F.xxhash64("c", "n"), F.try_element_at("blocks", "own")).cast("int")))
+    bands = F.when(F.col("one"), F.array(F.lit(0))).otherwise(F.array(*(F.col("own") + k for k in (-1, 0, 1))))
+
+    def places(b: Column) -> Column:
+        n = F.coalesce(F.try_element_at("blocks", b), F.lit(0))
+        return F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda x: F.struct(b.alias("band"), x.alias("block")))
+
+    run = rest.withColumn("to", F.explode(F.flatten(F.transform(bands, places))))
+    side = F.when((F.col("to.band") == F.col("own")) & (F.col("to.block") == F.col("at")), 0).otherwise(1)
+    run = run.select("bucket", "to.band", "to.block", side.alias("side"), "c", "n", "rep", "label", "point")
+    more = scratch.keep(run.repartition("bucket", "band", "block").sortWithinPartitions("bucket", "band", "block", "side").mapInArrow(tidy(_rest_pairs), _PAIR).distinct())
     if more.limit(1).count():
         found = _verified(more, docs, scratch)
         if found.limit(1).count():
             links = scratch.keep(links.union(found))
             labels = components(links, scratch)
-    scratch.drop(buckets, large, pairs, more, rest, blocks)
+    scratch.drop(buckets, large, first, more)
     repeated = rows.filter("id is not null").groupBy("id").agg(F.min("c").alias("c"), F.max("c").alias("d")).filter("c <> d").select(F.col("id").alias("twice"))
     several = bool(repeated.limit(1).count())
     if several:  # the texts of one id are one document

@@ -4,6 +4,7 @@ import hashlib
 import importlib
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -309,19 +310,19 @@ def near_copies(rng, n=150):
     return rows
 
 
-@pytest.mark.parametrize("small", [8, 2])
-def test_components(spark, monkeypatch, small):
-    monkeypatch.setattr(jaccard_join, "SMALL", small)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 3)
-    rows = near_copies(random.Random(8)) + [(900, ""), (901, " \n"), (902, "one"), (903, "ONE"), (904, "one two")]
+@pytest.mark.parametrize("block,n", [(512, 150), (3, 400), (7, 1000)])
+def test_components(spark, monkeypatch, block, n):
+    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+    rows = near_copies(random.Random(8), n) + [(1900, ""), (1901, " \n"), (1902, "one"), (1903, "ONE"), (1904, "one two")]
+    assert n < 1000 or max(Counter(next(iter(sorted(shingles(t))), None) for _, t in rows).values()) > jaccard_join.SMALL
     chain = [f"c{k}" for k in range(60)]
-    rows += [(1000 + k, " ".join(chain[2 * k : 2 * k + 40])) for k in range(10)]  # each like the next, not the last
+    rows += [(2000 + k, " ".join(chain[2 * k : 2 * k + 40])) for k in range(10)]  # each like the next, not the last
     want = brute_components(rows)
-    assert len({c for _, c in want.values()}) < len(rows) - 40 and want[1009][1] == 1000
-    df = spark.createDataFrame([*rows, (950, None), (None, rows[0][1])], "doc_id long, text string").withColumn("c", F.lit(1)).repartition(3)
+    assert len({c for _, c in want.values()}) < len(rows) - 40 and want[2009][1] == 2000
+    df = spark.createDataFrame([*rows, (1950, None), (None, rows[0][1])], "doc_id long, text string").withColumn("c", F.lit(1)).repartition(3)
     out = jaccard_join.similar_groups(df).collect()
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in out if r.doc_id is not None}
-    assert got == want | {950: (0, 950)}
+    assert got == want | {1950: (0, 1950)}
     assert [r.component_id for r in out if r.doc_id is None] == [None]
 
 
@@ -381,23 +382,30 @@ def test_r_tree_finds_all_that_the_bound_allows(monkeypatch):
 
 
 def test_pairs_of_a_bucket_that_spans_batches():
-    """Small buckets give all pairs the bound allows, large ones those with the first classes of each band."""
+    """Buckets that leave few pairs give them all; those of near copies, and large ones, those with the first
+    classes of each band, and stay open."""
     import pyarrow as pa
 
     rng = np.random.default_rng(5)
-    base = rng.integers(0, 4, jaccard_join.GROUPS).astype(np.uint8)
-    rows = []
-    for bucket, m in ((1, 5), (2, 40), (3, 1), (4, 8)):
+    base, rows = rng.integers(0, 4, jaccard_join.GROUPS).astype(np.uint8), []
+    apart = np.zeros((40, jaccard_join.GROUPS), np.uint8)
+    for k in range(40):
+        apart[k, 10 * k : 10 * k + 10] = 5
+    for bucket, m in ((1, 5), (2, 90), (3, 1), (4, 13), (5, 14), (6, 40)):
         for k in range(m):
-            point = base.copy()
+            point = apart[k] if bucket == 6 else base.copy()
             point[k % 7] += 1
             rows.append((bucket, m, 100 * bucket + k, int(point.sum()), k + 1000 * bucket, point.tobytes()))
     batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[a:b], strict=True)], ["bucket", "m", "c", "n", "rep", "point"]) for a, b in ((0, 3), (3, 6), (6, 30), (30, len(rows)))]
-    got = {(a, b) for batch in jaccard_join._first_pairs(iter(batches)) for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)}
-    small = {(1000 * g + i, 1000 * g + j) for g, m in ((1, 5), (4, 8)) for i in range(m) for j in range(i + 1, m)}
-    assert {x for x in got if x[0] // 1000 != 2} == small
-    large = {x for x in got if x[0] // 1000 == 2}
-    assert {i for x in large for i in x} == set(range(2000, 2040)) and len(large) <= 40 * jaccard_join.PIVOTS * 3
+    got, open_ = set(), []
+    for batch in jaccard_join._first_pairs(iter(batches)):
+        for a, c, b in zip(*(batch.column(k).to_pylist() for k in ("a", "ac", "b")), strict=True):
+            got.add((a, b)) if a is not None else open_.append(c)
+    every = {(1000 * g + i, 1000 * g + j) for g, m in ((1, 5), (4, 13)) for i in range(m) for j in range(i + 1, m)}
+    assert {x for x in got if x[0] // 1000 in (1, 3, 4, 6)} == every and sorted(open_) == [2, 5]
+    for g, m in ((2, 90), (5, 14)):
+        large = {x for x in got if x[0] // 1000 == g}
+        assert {i for x in large for i in x} == {1000 * g + k for k in range(m)} and len(large) <= m * jaccard_join.PIVOTS * 3
 
 
 def test_range_hashes_do_not_depend_on_the_groups(monkeypatch):
