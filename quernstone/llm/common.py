@@ -145,6 +145,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
                 at = to
 
 
+def likely(df: DataFrame, key: str, wanted: DataFrame, of: str, n: int, most_bits: int = 1 << 28) -> DataFrame:
+    """The rows of ``df`` whose whole number ``key`` may be among the ``n`` numbers in the column ``of`` of
+    ``wanted``, told by one hash in a bitmap of 16 bits for each, but not over ``most_bits``: what is broadcast
+    is at most an eighth of that in bytes. A join after it finds the exact rows without moving all others."""
+    bits = min(most_bits, 1 << max(15, (16 * n - 1).bit_length()))
+
+    def place(c: str) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(bits)) + 1  # the bitmap functions count from 1
+
+    maps = wanted.select(place(of).alias("__p")).groupBy(F.bitmap_bucket_number("__p").alias("__b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__p")).alias("__m"))
+    bit = F.bitmap_bit_position(place(key))
+    byte = F.conv(F.hex(F.substring("__m", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = df.join(F.broadcast(maps), F.bitmap_bucket_number(place(key)) == F.col("__b"))
+    return found.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(df.columns)
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

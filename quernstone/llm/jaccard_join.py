@@ -42,7 +42,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, mix, ship, slices, tidy
+from .common import Scratch, column, likely, mix, ship, slices, tidy
 from .rolling import shingle_sets
 
 GROUPS = 512
@@ -392,8 +392,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """The links among pairs, as (a, b) of ids."""
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "w")
-    texts = docs.join(wanted, docs["id"] == wanted["w"], "left_semi").select("text")
+    wanted = scratch.keep(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "w"))
+    # Few texts are wanted, so the others don't go through the shuffle.
+    texts = likely(docs, "id", wanted, "w", wanted.count()).join(wanted, F.col("id") == F.col("w"), "left_semi").select("text")
     sets = scratch.keep(texts.mapInArrow(tidy(_sets), "c long, n int, tokens binary"))
     one = sets.select(F.col("c").alias("ac"), F.col("n").alias("an"), F.col("tokens").alias("x"))
     two = sets.select(F.col("c").alias("bc"), F.col("n").alias("bn"), F.col("tokens").alias("y"))

@@ -10,6 +10,7 @@ import public_tokenizers as P
 import pytest
 import regex
 import tiktoken
+from pyspark.sql import functions as F
 
 from quernstone.llm import bpe, token_counts
 from quernstone.llm import queries as corpus
@@ -137,3 +138,18 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_folder(Elsewhere())
     assert common.shared_folder(spark)
+
+
+def test_likely_rows(spark):
+    from quernstone.llm.common import likely
+
+    rows = spark.range(-5, 40_000).withColumn("x", F.lit("x"))
+    wanted = spark.range(0, 40_000, 37).selectExpr("id as w")
+    n = wanted.count()
+    found = likely(rows, "id", wanted, "w", n)
+    assert found.columns == rows.columns
+    ids = {r.id for r in found.collect()}
+    assert {r.w for r in wanted.collect()} <= ids and len(ids) < n + 40_000 // 8
+    few = {r.id for r in likely(rows, "id", wanted, "w", n, 1 << 15).collect()}
+    assert {r.w for r in wanted.collect()} <= few
+    assert likely(rows, "id", wanted.limit(0), "w", 0).count() == 0
