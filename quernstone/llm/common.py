@@ -158,7 +158,7 @@ def likely(df: DataFrame, key: str, wanted: DataFrame, of: str, n: int, most_bit
     bit = F.bitmap_bit_position(place(key))
     byte = F.conv(F.hex(F.substring("__m", (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     found = df.join(F.broadcast(maps), F.bitmap_bucket_number(place(key)) == F.col("__b"))
-    return found.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(df.columns)
+    return found.filter(F.getbit(byte, (bit % 8).cast("int")) == 1).select(*map(column, df.columns))
 
 
 def lower_ascii(c: Column) -> Column:

@@ -464,6 +464,35 @@ def test_pipeline(spark, tmp_path):
             assert out.columns == first.columns, name
 
 
+def test_pipeline_stages_on_untidy_tables(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    long = "the sea and the boat " * 30_000
+    rows = [
+        (1, "the house and then they went there", None, "s", 1, "x"), (1, "the house and then they went there", None, "s", 1, "x"), (1, "a boat over the wide sea again", "en", None, None, None),
+        (None, "the house and then they went there", "en", "s", 1, "y"), (2, None, "en", "s", 1, "y"), (3, "", "en", "s", 1, "y"), (4, long, "en", "s", 1, "z"), (5, "THE house and then they went there", "en", "s", 1, "z"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, `__c0` string").withColumns({"__text": F.lit(1), "__id": F.lit(2), "a.b": F.lit(3), "n_words": F.lit(4)})
+    spark.createDataFrame([(1, None), (None, "the house and then they went there")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = {
+        "language ID": [(1, 0), (1, 0), (1, 2), (None, 0), (4, 6), (5, 7)],
+        "line dedup": [(i, k) for i, k in [(1, 0), (1, 0), (1, 2), (None, 0), (2, 4), (3, 5), (4, 6), (5, 7)]],
+        "n-gram Jaccard join": [(1, 0), (1, 2), (None, 0), (2, 4), (3, 5), (4, 6)],
+        "benchmark decontamination": [(1, 2), (2, 4), (3, 5), (4, 6)],
+    }
+    for name, stage in pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(i), str(rows[k][1])) for i, k in want[name]), name
+        assert all((r["__text"], r["__id"], r["a.b"], r["n_words"]) == (1, 2, 3, 4) for r in got), name
+        if name == "language ID":
+            assert {r["lang"] for r in got} == {"en"}
+        if name == "line dedup":
+            assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in got)
+    out = pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
+    assert len(out) == len(rows) and sum(r.n_tokens == 0 for r in out) == 2
+
+
 def test_queries_are_registered():
     import __spark_entry__ as entry
 
