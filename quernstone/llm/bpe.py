@@ -29,8 +29,8 @@ import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import chain, islice
-from operator import itemgetter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -259,9 +259,6 @@ class Transducer:
         return out[::-1]
 
 
-_IDS, _DECIMAL = itemgetter(0), itemgetter(1)
-
-
 class Codec:
     """Encodes texts to ids and decodes ids to texts."""
 
@@ -286,8 +283,8 @@ class Codec:
     def coded(self, text: str) -> Iterator[tuple[list[int], str]]:
         """The ids of each chunk of a text, and the same in decimal, joined by commas."""
         for words in self.words_of(text):
-            found = list(map(self.words.__getitem__, words))
-            yield list(chain.from_iterable(map(_IDS, found))), ",".join(map(_DECIMAL, found))
+            decimal = ",".join(map(self.words.__getitem__, words))
+            yield np.fromstring(decimal, np.int32, sep=",").tolist(), decimal
             self.words.age()
 
     def chunks(self, text: str) -> Iterator[list[int]]:
@@ -304,8 +301,9 @@ class Codec:
 
 
 class _Words(dict):
-    """Ids of pre-tokens already met, as numbers and in decimal. A pre-token that is itself a token is that
-    token. This is the young generation; pre-tokens that only the old one has come back when asked for."""
+    """Ids of pre-tokens already met, in decimal, joined by commas: the smallest form to keep. A pre-token that is
+    itself a token is that token. This is the young generation; pre-tokens that only the old one has come
+    back when asked for."""
 
     def __init__(self, codec: Codec) -> None:
         self.ranks, self.run, self.old = codec.ranks, codec.machine.run, {}
@@ -315,12 +313,12 @@ class _Words(dict):
             self.old = dict(self)
             self.clear()
 
-    def __missing__(self, word: str) -> tuple[tuple[int, ...], str]:
+    def __missing__(self, word: str) -> str:
         if (found := self.old.get(word)) is None:
             piece = word.encode()
             whole = self.ranks.get(piece)
             ids = (whole,) if whole is not None else self.run(piece)
-            found = (ids, ",".join([str(i) for i in ids]))
+            found = ",".join([str(i) for i in ids])
         if len(word) < 200:
             self[word] = found
         return found

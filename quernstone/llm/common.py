@@ -184,13 +184,17 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _shipped: set[str] = set()
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable on the executors, which share no folder with the driver."""
+    """Makes this package importable on the executors, which share no folder with the driver. Documents are
+    large, so batches that go to Python hold 1,000 rows unless the session asks for a number of its own."""
     import os
     import zipfile
 
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "1000")
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
