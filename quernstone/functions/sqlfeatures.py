@@ -83,8 +83,10 @@ def hardness(sql: Column) -> Column:
 
 
 def table_refs(sql: Column) -> Column:
-    """Names after FROM and JOIN, lower-cased, in order of first mention."""
-    return F.array_distinct(F.transform(F.regexp_extract_all(sql, F.lit(r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_]\w*)"), 1), F.lower))
+    """Names after FROM and JOIN in order of first mention, as first spelled; case does not tell them apart."""
+    found = F.regexp_extract_all(sql, F.lit(r"(?i)\b(?:FROM|JOIN)\s+([A-Za-z_]\w*)"), 1)
+    lower = F.transform(found, F.lower)
+    return F.filter(found, lambda x, i: F.array_position(lower, F.lower(x)) == i + 1)
 
 
 def join_types(sql: Column) -> Column:
@@ -108,7 +110,7 @@ def join_conditions(sql: Column) -> Column:
 WHERE_OPERATORS = {
     "=": r"(?<![<>!=])=(?!=)",
     ">": r"(?<![<>])>(?!=)",
-    "<": r"(?<![<>])<(?![=>])",
+    "<": r"(?<![<>])<(?!=)",
     ">=": r">=",
     "<=": r"<=",
     "!=/<>": r"(?:!=|<>)",
@@ -214,3 +216,33 @@ def taxonomy(match: Column, valid: Column, status: Column, error: Column) -> Col
         .when(status == "ok", "semantic_mismatch")
         .otherwise("other_execution_error")
     )
+
+
+def gold_features(sql: Column) -> dict[str, Column]:
+    """What error reports slice by: joins, grouping, a nested query in brackets, and over 31 words."""
+    joins = _n(sql, r"(?i)\bJOIN\b")
+    nested = sql.rlike(r"(?i)\(\s*SELECT\b")
+    words = F.size(F.split(F.trim(sql), r"\s+"))
+    return {
+        "has_join": joins >= 1,
+        "multiple_joins": joins >= 2,
+        "has_group_by": sql.rlike(r"(?i)\bGROUP\s+BY\b"),
+        "has_subquery": nested,
+        "join_and_subquery": (joins >= 1) & nested,
+        "long_sql": words > 31,
+        "join_count": joins,
+        "token_count": words,
+    }
+
+
+def missing_name(error: Column) -> dict[str, Column]:
+    """The column and the table that an error message says do not exist, or null."""
+    column = F.regexp_extract(error, r"(?i)no such column:\s*([^\s,;]+)", 1)
+    spark_column = F.regexp_extract(error, r"(?is)UNRESOLVED_COLUMN.*?name `?([\w.`]+?)`? cannot", 1)
+    table = F.regexp_extract(error, r"(?i)no such table:\s*([^\s,;]+)", 1)
+    spark_table = F.regexp_extract(error, r"(?is)TABLE_OR_VIEW_NOT_FOUND.*?view `?([\w.`]+?)`? cannot", 1)
+
+    def first(a: Column, b: Column) -> Column:
+        return F.nullif(F.replace(F.when(a != "", a).otherwise(b), F.lit("`"), F.lit("")), F.lit(""))
+
+    return {"column": first(column, spark_column), "table": first(table, spark_table)}

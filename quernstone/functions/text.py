@@ -42,6 +42,11 @@ def first_verb_is_safe(c: Column) -> Column:
     return ~F.upper(F.regexp_extract(c, r"^\s*([A-Za-z]+)", 1)).isin(*WRITE_VERBS)
 
 
+def _strip(c: Column) -> Column:
+    """No white space of any kind at the ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def _after_reasoning(c: Column) -> Column:
     return F.regexp_replace(c, r"(?is)^.*</think>", "")
 
@@ -55,15 +60,16 @@ def extract_sql(c: Column) -> Column:
     text = _after_reasoning(F.coalesce(c, F.lit("")))
     body = F.when(text.rlike(r"(?is)```.*?```"), _fenced(text)).otherwise(text)
     found = F.regexp_extract(body, r"(?is)\b((?:SELECT|WITH)\b.*)$", 1)
-    return F.trim(F.substring_index(F.when(found != "", found).otherwise(body), ";", 1))
+    return _strip(F.substring_index(F.when(found != "", found).otherwise(body), ";", 1))
 
 
 def extract_sql_strict(c: Column) -> Column:
-    """Like extract_sql, but WITH counts only before ``name AS (``, and what is no statement is empty."""
-    text = F.coalesce(c, F.lit(""))
-    body = F.when(text.rlike(r"(?is)```.*?```"), _fenced(text)).otherwise(text)
-    found = F.regexp_extract(body, r"(?is)\b((?:SELECT\b|WITH\s+(?:RECURSIVE\s+)?\w+\s+AS\s*\().*)$", 1)
-    return F.trim(F.substring_index(found, ";", 1))
+    """Like extract_sql, but WITH counts only before ``name AS (``, a fenced text must begin with SELECT or
+    WITH, and what is no statement is empty."""
+    text = _strip(_after_reasoning(F.coalesce(c, F.lit(""))))
+    bare = F.regexp_extract(text, r"(?is)\b((?:SELECT\b|WITH\s+(?:RECURSIVE\s+)?\w+\s+AS\s*\().*)$", 1)
+    body = F.when(text.rlike(r"(?is)```.*?```"), _strip(_fenced(text))).otherwise(bare)
+    return F.when(is_read_only(body), _strip(F.substring_index(body, ";", 1))).otherwise("")
 
 
 def extract_sql_traced(c: Column) -> Column:
@@ -73,7 +79,7 @@ def extract_sql_traced(c: Column) -> Column:
 
 def extract_fence(c: Column) -> Column:
     """The content of the first fence, else the whole text."""
-    return F.trim(F.when(c.rlike(r"(?is)```.*?```"), _fenced(c)).otherwise(c))
+    return _strip(F.when(c.rlike(r"(?is)```.*?```"), _fenced(c)).otherwise(c))
 
 
 def repair_operators(c: Column) -> Column:
@@ -108,29 +114,32 @@ def split_identifier(c: Column) -> Column:
     return F.filter(F.split(F.lower(F.trim(spaced)), " "), lambda x: x != "")
 
 
+#: E-mail addresses and web links.
+PRIVATE = r"(?i)[\w.+-]+@[\w-]+\.[\w.]+|https?://"
+
+
 def looks_private(c: Column) -> Column:
-    """E-mail addresses and web links."""
-    return c.rlike(r"(?i)[\w.+-]+@[\w-]+\.[\w.]+|https?://")
+    return c.rlike(PRIVATE)
 
 
 #: Domains by keyword in the name, the first that fits (fixed values).
 DOMAINS = (
-    ("education", "student college school course university dorm"),
-    ("healthcare", "hospital patient doctor disease clinic"),
-    ("sports", "soccer basketball wta game player stadium baseball"),
-    ("entertainment", "music movie singer concert tv orchestra cinema"),
-    ("business", "store company employee hr customer invoice shop"),
-    ("transport", "flight car bike ship aircraft train railway"),
-    ("geography", "world geo country city address"),
-    ("food", "restaurant wine food bakery"),
-    ("science", "scientist protein planet gas"),
+    ("education", ("student", "college", "school", "course", "university", "dorm")),
+    ("healthcare", ("hospital", "patient", "doctor", "disease", "clinic")),
+    ("sports", ("soccer", "basketball", "wta", "game", "player", "stadium", "baseball")),
+    ("entertainment", ("music", "movie", "singer", "concert", "tv", "orchestra", "cinema")),
+    ("business", ("store", "company", "employee", "hr", "customer", "invoice", "shop")),
+    ("transport", ("flight", "car", "bike", "ship", "aircraft", "train", "railway")),
+    ("geography", ("world", "geo", "country", "city", "address")),
+    ("food", ("restaurant", "wine", "food", "bakery")),
+    ("science", ("scientist", "protein", "planet", "gas")),
 )
 
 
 def domain_of(name: Column) -> Column:
     out = F.lit("other")
     for domain, words in reversed(DOMAINS):
-        out = F.when(F.lower(name).rlike("|".join(words.split())), domain).otherwise(out)
+        out = F.when(F.lower(name).rlike("|".join(words)), domain).otherwise(out)
     return out
 
 
@@ -153,3 +162,25 @@ def cell_text(c: Column, kind: str) -> Column:
     if kind in ("double", "float"):
         return F.bround(c.cast("double"), 8).cast("string")
     return F.lower(F.hex(c)) if kind == "binary" else c.cast("string")
+
+
+def estimated_tokens(c: Column) -> Column:
+    """A quarter of the characters, rounded half to even."""
+    return F.bround(F.length(c) / 4).cast("long")
+
+
+def dialect(c: Column) -> Column:
+    """A statement of the small embedded dialect in Spark's: [name] and "name" become `name`, IIF becomes IF,
+    STRFTIME of year, month or day becomes DATE_FORMAT, LIKE (blind to case there) becomes ILIKE. Text in
+    quotes stays as it is."""
+    kept = r"('(?:[^']|'')*')"
+    out = F.regexp_replace(c, rf"{kept}|\[([^\]\[]+)\]", "$1\u0001$2\u0001")
+    out = F.regexp_replace(out, "\u0001\u0001", "")
+    out = F.regexp_replace(out, rf'{kept}|"([^"]+)"', "$1\u0001$2\u0001")
+    out = F.replace(F.regexp_replace(out, "\u0001\u0001", ""), F.lit("\u0001"), F.lit("`"))
+    for word, other in ((r"IIF\s*\(", "IF("), (r"LIKE\b", "ILIKE")):
+        out = F.regexp_replace(F.regexp_replace(out, rf"(?i){kept}|\b{word}", "$1\u0001"), "(?<!')\u0001", other)
+        out = F.replace(out, F.lit("\u0001"), F.lit(""))
+    for code, form in (("%Y", "yyyy"), ("%m", "MM"), ("%d", "dd"), ("%Y-%m", "yyyy-MM"), ("%Y-%m-%d", "yyyy-MM-dd")):
+        out = F.regexp_replace(out, rf"(?i)\bSTRFTIME\s*\(\s*'{code}'\s*,\s*([^()]+?)\s*\)", f"DATE_FORMAT($1, '{form}')")
+    return out

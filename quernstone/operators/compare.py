@@ -2,27 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import repair_operators, strip_distinct
-from .execute import row_json
+from ..functions.text import has_order_by, repair_operators, strip_distinct
+from .execute import EVAL_ROWS, EVAL_SECONDS, Result, guarded, numbered, row_json, run
+
+
+def _difference(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    both = left.select(*keys, F.lit(1).alias("l"), F.lit(0).alias("r")).union(right.select(*keys, F.lit(0), F.lit(1)))
+    return both.groupBy(*keys).agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right")).filter("n_left <> n_right")
 
 
 def bag_difference(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows (as JSON) whose number differs, with n_left and n_right. One shuffle of partial counts."""
-    both = row_json(left).select("row_json", F.lit(1).alias("l"), F.lit(0).alias("r")).union(row_json(right).select("row_json", F.lit(0), F.lit(1)))
-    return both.groupBy("row_json").agg(F.sum("l").alias("n_left"), F.sum("r").alias("n_right")).filter("n_left <> n_right")
+    return _difference(row_json(left), row_json(right), ["row_json"])
 
 
 def strict_equal(left: DataFrame, right: DataFrame, ordered: bool = False) -> bool:
-    """Equal column counts and equal rows, compared as JSON text, so 1 and 1.0 differ."""
+    """Equal column counts and equal rows, compared as JSON text, so 1 and 1.0 differ. Where the order counts,
+    rows are compared with their places; such results should be capped."""
     if len(left.columns) != len(right.columns):
         return False
-    if ordered:
-        a, b = (row_json(x).rdd.zipWithIndex().map(lambda r: (r[1], r[0][0])).toDF(["at", "row_json"]) for x in (left, right))
-        return a.exceptAll(b).limit(1).count() == 0 and b.exceptAll(a).limit(1).count() == 0
-    return bag_difference(left, right).limit(1).count() == 0
+    a, b = row_json(left), row_json(right)
+    found = _difference(numbered(a), numbered(b), ["at", "row_json"]) if ordered else _difference(a, b, ["row_json"])
+    return found.limit(1).count() == 0
 
 
 def rows_match(left: DataFrame, right: DataFrame) -> bool:
@@ -103,6 +107,22 @@ def prepare_compatible(sql: Column) -> Column:
     return strip_distinct(repair_operators(sql))
 
 
+def score(spark: SparkSession, gold: str, predicted: str, seconds: float = EVAL_SECONDS, rows: int = EVAL_ROWS) -> dict[str, object]:
+    """Both metrics of one prediction: the statuses of both statements, whether they match strictly (the order
+    counts if the reference statement has ORDER BY), and whether they match compatibly (split operators
+    joined, DISTINCT left out, any one order of the columns)."""
+    one = spark.range(1).select(has_order_by(F.lit(gold)).alias("o"), *(prepare_compatible(F.lit(x)).alias(k) for k, x in (("g", gold), ("p", predicted)))).first()
+    first, second = (run(spark, x, rows, seconds) for x in (gold, predicted))
+    strict = _both_ok(first, second) and strict_equal(guarded(spark, gold), guarded(spark, predicted), one["o"])
+    loose = [run(spark, one[k], rows, seconds) for k in ("g", "p")]
+    compatible = _both_ok(*loose) and compatible_equal(guarded(spark, one["g"]), guarded(spark, one["p"]), one["o"])
+    return {"gold_status": first.status, "status": second.status, "strict": strict, "compatible": compatible}
+
+
+def _both_ok(*results: Result) -> bool:
+    return all(r.status == "ok" for r in results)
+
+
 def signatures(rows: DataFrame, example: str, candidate: str, cells: list[str], distinct: bool = False) -> DataFrame:
     """(example, candidate, signature): a digest of each candidate's rows; with ``distinct`` of their set."""
     row = F.to_json(F.struct(*(F.col(c) for c in cells)), {"ignoreNullFields": "false"})

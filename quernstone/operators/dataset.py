@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import hash_fraction, is_read_only, normalize_sql, stable_hash
+from .evaluate import ranked_at
 
 
 def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
@@ -25,8 +26,11 @@ def cap_per_key(df: DataFrame, key: Column, most: int, *order: Column | str) ->
 
 
 def with_key_count(df: DataFrame, key: Column, name: str = "key_count") -> DataFrame:
-    """How often each row's key occurs."""
-    return df.withColumn(name, F.count(F.lit(1)).over(Window.partitionBy(key)))
+    """How often each row's key occurs. Counts are summed before the shuffle and joined back, so the rows of a hot
+    key need not meet in one task."""
+    keyed = df.withColumn("__key", key)
+    counts = keyed.groupBy("__key").agg(F.count(F.lit(1)).alias(name)).withColumnRenamed("__key", "__of")
+    return keyed.join(counts, F.col("__key").eqNullSafe(F.col("__of"))).drop("__key", "__of")
 
 
 def round_robin(df: DataFrame, group: str, n: int, *order: Column | str) -> DataFrame:
@@ -41,8 +45,7 @@ def length_stratified(df: DataFrame, n: int, length: str, id: str) -> DataFrame:
     if n >= total:
         return df
     places = sorted({round(k * (total - 1) / (n - 1)) if n > 1 else 0 for k in range(n)})
-    ranked = df.withColumn("__at", F.row_number().over(Window.orderBy(length, id)) - 1)
-    return ranked.filter(F.col("__at").isin(places)).drop("__at")
+    return ranked_at(df, length, places, id).drop("at")
 
 
 def weighted_key(seed: int, id: str, weight: Column) -> Column:
@@ -50,6 +53,11 @@ def weighted_key(seed: int, id: str, weight: Column) -> Column:
     return -F.ln(F.greatest(hash_fraction(seed, F.col(id)), F.lit(2.0**-33))) / weight
 
 
+def sample_budget(rows: int, fraction: float) -> int:
+    """How many rows a fraction of them is, rounded half to even."""
+    return round(rows * fraction)
+
+
 def weighted_sample(df: DataFrame, n: int, seed: int, id: str, weight: Column, template: Column | None = None, cap: int = 1) -> DataFrame:
     """n rows by weight without replacement, at most ``cap`` for each template; fewer rows than n is an error."""
     keyed = df.withColumn("sample_key", weighted_key(seed, id, weight))
@@ -68,10 +76,13 @@ def check_policy(fraction: float, cap: int, multipliers: dict[str, float], combi
 
 
 def priority_multiplier(features: Column, multipliers: dict[str, float]) -> Column:
-    """The greatest multiplier among a row's features, 1 if none."""
-    table = F.create_map(*(x for k, v in multipliers.items() for x in (F.lit(k), F.lit(float(v)))))
-    found = F.transform(features, lambda f: F.coalesce(F.try_element_at(table, f), F.lit(1.0)))
-    return F.greatest(F.lit(1.0), F.coalesce(F.array_max(found), F.lit(1.0)))
+    """The greatest multiplier among a row's features, at least 1; a feature the policy does not know is an error."""
+    table = F.create_map(*(x for k, v in multipliers.items() for x in (F.lit(k), F.lit(float(v))))) if multipliers else F.create_map(F.lit(""), F.lit(1.0))
+
+    def known(f: Column) -> Column:
+        return F.coalesce(F.try_element_at(table, f), F.raise_error(F.concat(F.lit("unknown feature: "), f)).cast("double"))
+
+    return F.greatest(F.lit(1.0), F.coalesce(F.array_max(F.transform(features, known)), F.lit(1.0)))
 
 
 def quotas(groups: DataFrame, total: int, group: str = "grp", count: str = "n", ties_descending: bool = False) -> DataFrame:
@@ -91,21 +102,62 @@ def group_split(df: DataFrame, key: Column, percent: float, name: str = "part",
     return df.withColumn(name, F.when(bucket < percent * 10, "validation").otherwise("train"))
 
 
-def split_search(groups: DataFrame, rows: int, trials: int, seed: int = 17, group: str = "grp", count: str = "n") -> DataFrame:
-    """The trial whose random half of the groups has a row count nearest to ``rows``; ties: the first.
+def check_share(parts: DataFrame, percent: float, name: str = "part", points: float = 3.0) -> float:
+    """The share of validation rows in percent; over ``points`` away from the wanted one is an error."""
+    found = parts.agg((100.0 * F.count_if(F.col(name) == "validation") / F.count(F.lit(1))).alias("p")).first()["p"]
+    if found is None or abs(found - percent) > points:
+        raise ValueError(f"{found} % of the rows are for validation, {percent} % were asked for")
+    return found
+
+
+#: The most rows of a table of groups or settings that is given to every task.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A table to be broadcast, of checked size: more rows than ``most`` are an error."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"over {most} rows, which is too much to give to every task")
+    return F.broadcast(df)
 
-    groups is a small table; trials are rows, so they are scored in parallel.
+
+def split_search(groups: DataFrame, chosen: int, trials: int = 50_000, seed: int = 17, group: str = "grp", label: str = "label", count: str = "n") -> DataFrame:
+    """The best of ``trials`` choices of ``chosen`` whole groups for validation: trial, error, n_rows and groups.
+
+    groups has a row for each group and label with its number of rows. A trial takes the groups of least
+    hash of seed, trial and group. Its error is that of the row count plus the mean of those of the label
+    counts, each relative to the target, the same share of rows as of groups; ties go to the groups that
+    sort first. Groups and labels are few and their table's size is checked; trials are rows, so they are
+    scored in parallel: a trial is one row of arrays, never a row for each group.
     """
     spark = groups.sparkSession
-    tried = spark.range(trials).withColumnRenamed("id", "trial").join(F.broadcast(groups.select(group, count)))
-    inside = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.col("trial").cast("string"), F.lit(":"), F.col(group).cast("string")), 256), 1, 8), 16, 10).cast("long") % 2 == 0
-    scored = tried.filter(inside).groupBy("trial").agg(F.sum(count).alias("n_rows"), F.count(F.lit(1)).alias("n_groups"))
-    return scored.withColumn("error", F.abs(F.col("n_rows") - rows)).orderBy("error", "trial").limit(1)
+    table = small(groups.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct(F.col(label).cast("string"), F.col(count).cast("long")))).alias("of"), F.sum(count).alias("n")))
+    names = [r[0] for r in groups.select(F.col(label).cast("string").alias("l")).distinct().orderBy("l").limit(SMALL_ROWS).collect()]
+    every = table.agg(F.collect_list(F.struct(F.col(group).cast("string").alias("g"), "of", "n")).alias("groups"), F.sum("n").alias("total"))
+    key = lambda g: F.sha2(F.concat(F.lit(f"{seed}:"), F.col("trial").cast("string"), F.lit(":"), g["g"]), 256)
+    tried = spark.range(trials).withColumnRenamed("id", "trial").join(F.broadcast(every))
+    keys = F.slice(F.array_sort(F.transform("groups", lambda g: F.struct(key(g).alias("k"), g["g"].alias("g")))), 1, chosen)
+    tried = tried.withColumn("names", F.array_sort(F.transform(keys, lambda x: x["g"])))
+    own = F.filter("groups", lambda g: F.array_contains("names", g["g"]))
+    share = F.lit(float(chosen)) / F.size("groups")
+    rows = lambda gs: F.aggregate(gs, F.lit(0).cast("long"), lambda a, g: a + g["n"])
+
+    def off(found: Column, target: Column) -> Column:
+        return F.abs(found - target) / F.greatest(F.lit(1.0), target)
+
+    def of_label(gs: Column, name: str) -> Column:
+        return F.aggregate(gs, F.lit(0).cast("long"), lambda a, g: a + F.coalesce(F.try_element_at(g["of"], F.lit(name)), F.lit(0).cast("long")))
+
+    labels = [off(of_label(F.col("own"), x), of_label(F.col("groups"), x) * share) for x in names]
+    error = off(F.col("n_rows"), F.col("total") * share) + sum(labels, F.lit(0.0)) / max(1, len(labels))
+    scored = tried.withColumn("own", own).withColumn("n_rows", rows(F.col("own"))).withColumn("error", F.bround(error, 9))
+    return scored.select("trial", "error", "n_rows", F.array_join("names", ",").alias("groups")).orderBy("error", "groups").limit(1)
 
 
 def drop_long_groups(df: DataFrame, group: str, length: Column, most: int) -> DataFrame:
-    """Groups without any member over the limit."""
-    return df.withColumn("__max", F.max(length).over(Window.partitionBy(group))).filter(F.col("__max") <= most).drop("__max")
+    """Groups without any member over the limit. Only the keys of groups with one are shuffled against the rows."""
+    long = df.filter(length > most).select(F.col(group).alias("__long")).distinct()
+    return df.join(long, F.col(group).eqNullSafe(F.col("__long")), "left_anti")
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
@@ -113,6 +165,69 @@ def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).intersect(right.select(key))
 
 
+def leakage(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row: how many different values of each key, and how many whole combinations of all, are in both parts."""
+    shared = [overlap(left.select(F.col(k).alias("k")), right.select(F.col(k).alias("k")), "k").agg(F.count(F.lit(1)).alias(f"{k}_overlap")) for k in keys]
+    whole = left.select(*keys).intersect(right.select(*keys)).agg(F.count(F.lit(1)).alias("exact_overlap"))
+    out = whole
+    for one in shared:  # each a single row
+        out = out.join(F.broadcast(one))
+    return out
+
+
+def check_leakage(left: DataFrame, right: DataFrame, keys: Sequence[str], fatal: Sequence[str]) -> dict[str, int]:
+    """The counts of ``leakage``; one that must be 0 and is not is an error."""
+    found = leakage(left, right, keys).first().asDict()
+    if bad := {k: found[k] for k in fatal if found[k]}:
+        raise ValueError(f"the parts overlap: {bad}")
+    return found
+
+
+def check_split(whole: DataFrame, parts: Sequence[DataFrame], key: str) -> None:
+    """Raises ValueError unless the parts share no key and together hold all rows of the whole."""
+    for k, left in enumerate(parts):
+        for right in parts[k + 1 :]:
+            check_disjoint(left, right, key)
+    n, m = whole.count(), sum(p.count() for p in parts)
+    if n != m:
+        raise ValueError(f"the parts hold {m} rows, the whole {n}")
+
+
+def supplemented(base: DataFrame, *more: DataFrame) -> DataFrame:
+    """The rows of a base and of supplements, as they are; ``origin`` tells the table (0 is the base) a row is from."""
+    out = base.withColumn("origin", F.lit(0))
+    for k, df in enumerate(more, 1):
+        out = out.unionByName(df.withColumn("origin", F.lit(k)))
+    return out
+
+
+def first_rows(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """The first n rows of an explicit order, for a smoke run; all if n is 0."""
+    return df.orderBy(*order).limit(n) if n else df
+
+
+def unused(catalog: DataFrame, used: Sequence[DataFrame], key: str = "db_id") -> DataFrame:
+    """Names of a catalog that no part uses."""
+    out = catalog.select(key).distinct()
+    for df in used:
+        out = out.join(df.select(key).distinct(), key, "left_anti")
+    return out
+
+
+def align_models(models: dict[str, DataFrame], id: str, value: str) -> DataFrame:
+    """One row for each id with a column for each model; a model that lacks an id, has one too many, or has one
+    twice is an error."""
+    (first, base), *rest = models.items()
+    for name, df in rest:
+        report = alignment(base, df, id).first()
+        if report["missing"] or report["extra"] or report["repeated"]:
+            raise ValueError(f"{name} and {first} have different ids: {report.asDict()}")
+    out = base.select(id, F.col(value).alias(first))
+    for name, df in rest:
+        out = out.join(df.select(id, F.col(value).alias(name)), id)
+    return out
+
+
 def check_disjoint(left: DataFrame, right: DataFrame, key: str) -> None:
     if n := overlap(left, right, key).count():
         raise ValueError(f"{n} values of {key} are in both parts")
@@ -166,8 +281,15 @@ def source_violations(rows: DataFrame, split: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, id: str) -> DataFrame:
-    """One digest of all ids in order."""
-    return df.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.col(id).cast("string"))), "\n"), 256).alias("fingerprint"), F.count(F.lit(1)).alias("n"))
+    """One digest of all ids as text, in order, a line each. The digest runs over one sequence, so the sorted ids
+    stream through the driver, a partition at a time; they are never held together."""
+    import hashlib
+
+    digest, n = hashlib.sha256(), 0
+    for row in df.select(F.col(id).cast("string").alias("i")).orderBy("i").toLocalIterator(prefetchPartitions=True):
+        digest.update((("\n" if n else "") + row["i"]).encode())
+        n += 1
+    return df.sparkSession.createDataFrame([(digest.hexdigest(), n)], "fingerprint string, n long")
 
 
 def split_usable(rows: DataFrame, status: str = "status") -> tuple[DataFrame, DataFrame]:

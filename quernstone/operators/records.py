@@ -27,6 +27,28 @@ def training_record(examples: DataFrame, system: str, copy: int = 0) -> DataFram
     return examples.select((F.concat("id", F.lit(f"::hard-{copy}")) if copy else F.col("id")).alias("id"), "db_id", talk.alias("messages"))
 
 
+def validation_record(examples: DataFrame, fields: tuple[str, ...] = ("id", "db_id", "schema", "question", "sql")) -> DataFrame:
+    """What an evaluation needs of an example, the reference statement as ``gold_sql`` and no target message."""
+    return examples.select(*(F.col(c).alias("gold_sql" if c == "sql" else c) for c in fields))
+
+
+def valid_gold(rows: DataFrame, status: str = "gold_status") -> DataFrame:
+    """The rows whose reference statement ran."""
+    return rows.filter(F.col(status) == "ok")
+
+
+def positional(left: DataFrame, right: DataFrame, same: tuple[str, ...], at: str = "at") -> DataFrame:
+    """Rows of two numbered inputs side by side; places that only one has, and rows that differ in a column of
+    ``same``, are an error."""
+    both = left.join(right.select(at, *(F.col(c).alias(f"__{c}") for c in same), *(c for c in right.columns if c != at and c not in same), F.lit(True).alias("__there")), at, "full")
+    differs = F.coalesce("__there", F.lit(False)) == F.lit(False)
+    for c in same:
+        differs |= ~F.col(c).eqNullSafe(F.col(f"__{c}"))
+    if both.filter(differs).limit(1).count():
+        raise ValueError(f"rows without a partner, or that differ in {', '.join(same)}")
+    return both.drop("__there", *(f"__{c}" for c in same))
+
+
 def without_audit(groups: DataFrame, column: str = "candidate_groups", prefix: str = "audit_") -> DataFrame:
     """An array of structs without the fields that only an audit may see."""
     fields = [f.name for f in groups.schema[column].dataType.elementType.fields if f.name.startswith(prefix)]
@@ -61,9 +83,11 @@ def join_consistent(left: DataFrame, right: DataFrame, on: str, same: str) -> Da
     return both.drop("__same")
 
 
-def join_small(rows: DataFrame, small: DataFrame, on: str, most: int = 100_000) -> DataFrame:
-    """A join with a table of checked size, broadcast up to ``most`` rows; missing keys are an error."""
-    side = F.broadcast(small) if small.limit(most + 1).count() <= most else small
+def join_small(rows: DataFrame, small: DataFrame, on: str, most: int = 32 << 20) -> DataFrame:
+    """A join with a table of checked size, broadcast up to ``most`` bytes (of its rows as text); beyond that it is a
+    plain join. Missing keys are an error."""
+    size = small.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("n")).first()["n"]
+    side = F.broadcast(small) if size <= most else small
     if rows.join(side, on, "left_anti").limit(1).count():
         raise ValueError(f"values of {on} are missing")
     return rows.join(side, on)

@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .dataset import small
+
 
 def clusters(candidates: DataFrame, example: str = "example", idx: str = "idx", signature: str = "signature") -> DataFrame:
     """(example, signature, votes, first_idx) of candidates that did not fail."""
@@ -30,14 +32,30 @@ def all_zero(cells: Column) -> Column:
     return (F.size(cells) > 0) & F.forall(number, lambda x: F.coalesce(F.abs(x) < 1e-12, F.lit(False)))
 
 
+def _escaped(cell: Column) -> Column:
+    """A cell in which the marks between cells and rows are told apart from text."""
+    return F.regexp_replace(F.coalesce(cell, F.lit("None")), r"([\\|;])", r"\\$1")
+
+
 def value_signature(rows: Column) -> Column:
-    """The set of rows, each an array of cell texts, whatever the order of its cells, as one text."""
-    return F.array_join(F.array_sort(F.array_distinct(F.transform(rows, lambda r: F.array_join(F.array_sort(r), "|")))), ";")
+    """The set of rows, each an array of cell texts, whatever the order of its cells, as one text. Marks inside
+    cells are escaped, so different sets have different texts; null (no result) stays null."""
+    return F.array_join(F.array_sort(F.array_distinct(F.transform(rows, lambda r: F.array_join(F.array_sort(F.transform(r, _escaped)), "|")))), ";")
 
 
 def published_signature(rows: Column) -> Column:
-    """The same, cut after 200 characters."""
-    return F.substring(value_signature(rows), 1, 200)
+    """The set of rows without escapes, cut after 200 characters, as published."""
+    plain = F.transform(rows, lambda r: F.array_join(F.array_sort(F.transform(r, lambda x: F.coalesce(x, F.lit("None")))), "|"))
+    return F.substring(F.array_join(F.array_sort(F.array_distinct(plain)), ";"), 1, 200)
+
+
+def published_all_zero(signature: Column) -> Column:
+    """Whether the rows of a published signature that are one number each (a percent sign may follow) are all zero;
+    other rows don't count, and there must be one that does."""
+    values = F.filter(F.transform(F.split(signature, ";"), lambda x: F.trim(x)), lambda x: x != "")
+    plain = F.transform(values, lambda x: F.trim(F.regexp_replace(x, "%$", "")))
+    numbers = F.filter(plain, lambda x: x.rlike(r"^[\s+-]?\d+(\.\d+)?$"))
+    return (F.size(numbers) > 0) & F.forall(numbers, lambda x: F.coalesce(F.abs(F.trim(x).try_cast("double")) < 1e-12, F.lit(False)))
 
 
 def value_aware(candidates: DataFrame, example: str = "example", idx: str = "idx", signature: str = "signature", empty: str = "is_empty", zero: str = "is_zero") -> DataFrame:
@@ -50,6 +68,37 @@ def value_aware(candidates: DataFrame, example: str = "example", idx: str = "idx
     return every.join(best, example, "left").select(example, F.coalesce("b.first_idx", F.lit(0)).cast("long").alias("chosen_idx"), F.coalesce("b.votes", F.lit(0)).cast("long").alias("votes"))
 
 
+def published_vote(candidates: DataFrame, example: str = "example", idx: str = "idx", rows: str = "rows") -> DataFrame:
+    """The published vote: candidates (``rows`` an array of rows of cell texts, null if it failed) by their published
+    signature; empty and all-zero ones only if there is no other, ties to the greatest signature."""
+    signature = published_signature(F.col(rows))
+    known = candidates.select(example, idx, signature.alias("signature"))
+    known = known.withColumns({"is_empty": F.col("signature") == "", "is_zero": published_all_zero(F.col("signature"))})
+    return value_aware(known, example, idx)
+
+
+def reselect(candidates: DataFrame, results: DataFrame, by_value: bool = True) -> DataFrame:
+    """A new choice among stored candidates (example, idx, sql): each is judged by the result (sql, signature,
+    is_empty, is_zero) of its statement without DISTINCT; those without a result failed."""
+    from ..functions.text import repair_operators, strip_distinct
+
+    keyed = candidates.withColumn("__sql", strip_distinct(repair_operators(F.col("sql"))))
+    known = keyed.join(results.withColumnRenamed("sql", "__sql"), "__sql", "left")
+    return value_aware(known) if by_value else consensus(known)
+
+
+def rescore(candidates: DataFrame, before: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row: what a new choice changes. candidates: example, idx, correct; before and chosen: example, chosen_idx."""
+    flag = candidates.select("example", F.col("idx").cast("long").alias("chosen_idx"), "correct")
+    old = before.select("example", F.col("chosen_idx").cast("long").alias("chosen_idx")).join(flag, ["example", "chosen_idx"], "left").select("example", F.coalesce("correct", F.lit(False)).alias("old"))
+    new = chosen.select("example", F.col("chosen_idx").cast("long").alias("chosen_idx")).join(flag, ["example", "chosen_idx"], "left").select("example", F.coalesce("correct", F.lit(False)).alias("new"))
+    oracle = candidates.groupBy("example").agg(F.coalesce(F.bool_or("correct"), F.lit(False)).alias("oracle"))
+    both = old.join(new, "example").join(oracle, "example")
+    count = lambda c: F.count_if(c)
+    o, n = F.col("old"), F.col("new")
+    return both.agg(F.count(F.lit(1)).alias("n"), count(o).alias("before"), count(n).alias("after"), count(~o & n).alias("corrected"), count(o & ~n).alias("regressed"), count(F.col("oracle")).alias("oracle"))
+
+
 def winner_runner_up(candidates: DataFrame, example: str = "example", idx: str = "idx", signature: str = "signature") -> DataFrame:
     """The two largest clusters of each example by (votes, signature) and the margin between them."""
     order = Window.partitionBy(example).orderBy(F.desc("votes"), F.desc(signature))
@@ -59,6 +108,13 @@ def winner_runner_up(candidates: DataFrame, example: str = "example", idx: str =
     return out.select(example, F.col(f"w.{signature}").alias("winner"), F.col("w.votes").alias("votes"), F.coalesce("r.votes", F.lit(0)).cast("long").alias("runner_up_votes"), (F.col("w.votes") - F.coalesce("r.votes", F.lit(0))).cast("long").alias("margin"))
 
 
+def ensemble_report(chosen: DataFrame, baseline: DataFrame, example: str = "example", correct: str = "correct") -> DataFrame:
+    """One row: an ensemble against one model: n, correct, baseline_correct, corrected, regressed, oracle."""
+    both = chosen.select(example, F.col(correct).alias("c"), "oracle_match").join(baseline.select(example, F.col(correct).alias("b")), example)
+    c, b = F.coalesce("c", F.lit(False)), F.coalesce("b", F.lit(False))
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(c).alias("correct"), F.count_if(b).alias("baseline_correct"), F.count_if(c & ~b).alias("corrected"), F.count_if(~c & b).alias("regressed"), F.count_if("oracle_match").alias("oracle"))
+
+
 def priority_ensemble(answers: DataFrame, example: str = "example", model: str = "model", priority: str = "priority", signature: str = "signature", correct: str = "correct") -> DataFrame:
     """The answer most models agree on, ties to the model of highest priority (the least number)."""
     votes = Window.partitionBy(example, signature)
@@ -71,7 +127,7 @@ def priority_ensemble(answers: DataFrame, example: str = "example", model: str =
 def weighted_pool(pool: DataFrame, weights: DataFrame, example: str = "example", signature: str = "signature", base: str = "base_votes", core: str = "core_votes", correct: str = "correct") -> DataFrame:
     """For each weight (column ``weight`` of a small table) the number of examples whose best cluster,
     by base + weight * core votes and then signature, is correct."""
-    scored = pool.join(F.broadcast(weights)).withColumn("score", F.col(base) + F.col("weight") * F.col(core))
+    scored = pool.join(small(weights, 1_000)).withColumn("score", F.col(base) + F.col("weight") * F.col(core))
     best = scored.groupBy("weight", example).agg(F.max(F.struct("score", signature, F.col(correct).cast("int").alias("ok"))).alias("b"))
     return best.groupBy("weight").agg(F.sum("b.ok").cast("long").alias("n_correct"), F.count(F.lit(1)).alias("n"))
 
@@ -96,9 +152,13 @@ def route(agree: Column, core_votes: Column, other_votes: Column, margin: Column
 
 
 def routing_grid(examples: DataFrame, settings: DataFrame) -> DataFrame:
-    """The correct answers under each routing setting (a, b, c). settings is a small table of parameters."""
+    """The correct answers under each routing setting (a, b, c). settings is a small table of parameters; examples
+    are counted by their distinct facts first, so the settings meet these and not every example."""
+    facts = ["agree", "core_votes", "other_votes", "margin", "core_correct", "other_correct"]
+    counted = examples.groupBy(*facts).agg(F.count(F.lit(1)).alias("n"))
     use = route(F.col("agree"), F.col("core_votes"), F.col("other_votes"), F.col("margin"), F.col("a"), F.col("b"), F.col("c"))
-    return examples.join(F.broadcast(settings)).groupBy("a", "b", "c").agg(F.sum(F.when(use, F.col("core_correct")).otherwise(F.col("other_correct")).cast("int")).cast("long").alias("n_correct"), F.sum(use.cast("int")).cast("long").alias("n_routed"))
+    right = F.when(use, F.col("core_correct")).otherwise(F.col("other_correct")).cast("int")
+    return counted.join(small(settings)).groupBy("a", "b", "c").agg(F.sum(right * F.col("n")).cast("long").alias("n_correct"), F.sum(use.cast("int") * F.col("n")).cast("long").alias("n_routed"))
 
 
 def best_setting(grid: DataFrame) -> DataFrame:
@@ -106,16 +166,29 @@ def best_setting(grid: DataFrame) -> DataFrame:
     return grid.orderBy(F.desc("n_correct"), F.desc("a"), F.desc("b"), F.desc("c")).limit(1)
 
 
-def with_fallback(core: DataFrame, other: DataFrame, on: Sequence[str] = ("example",)) -> DataFrame:
-    """The core answer, but for examples without core votes whose other answer ran."""
-    both = core.join(other, list(on))
+def with_fallback(core: DataFrame, other: DataFrame, on: Sequence[str] = ("example",), same: str | None = None) -> DataFrame:
+    """The core answer, but for examples without core votes whose other answer ran. Both sides must have the same
+    examples, each once, and agree in the column ``same`` if one is named; else it is an error."""
+    from .dataset import alignment
+
+    key = F.to_json(F.struct(*on)).alias("k")
+    report = alignment(core.select(key), other.select(key), "k").first()
+    if report["missing"] or report["extra"] or report["repeated"]:
+        raise ValueError(f"examples differ: {report.asDict()}")
+    both = core.join(other.withColumnRenamed(same, "__same") if same else other, list(on))
+    if same and both.filter(~F.col(same).eqNullSafe(F.col("__same"))).limit(1).count():
+        raise ValueError(f"rows differ in {same}")
     use = (F.col("core_votes") == 0) & (F.col("other_status") == "ok")
     return both.select(*on, F.when(use, "other").otherwise("core").alias("source"), F.when(use, F.col("other_correct")).otherwise(F.col("core_correct")).alias("correct"))
 
 
 def candidate_groups(candidates: DataFrame, example: str = "example", sql: str = "sql", keys: Sequence[str] = ("signature",)) -> DataFrame:
     """Candidates with equal keys as one group: votes, number of texts, and the text that stands for it
-    (most frequent, then shortest, then greatest); rank by (votes, text) descending."""
+    (most frequent, then shortest, then greatest); rank by (votes, text) descending. Failed candidates (a
+    null key) are in no group, unless all of an example failed: then they are its one group."""
+    failed = F.greatest(*(F.col(k).isNull().cast("int") for k in keys)) if len(keys) > 1 else F.col(keys[0]).isNull().cast("int")
+    alive = Window.partitionBy(example)
+    candidates = candidates.withColumn("__failed", failed).withColumn("__all", F.min("__failed").over(alive)).filter((F.col("__failed") == 0) | (F.col("__all") == 1))
     texts = candidates.groupBy(example, *keys, sql).agg(F.count(F.lit(1)).alias("n"))
     best = F.max(F.struct(F.col("n"), (-F.length(sql)).alias("short"), F.col(sql).alias("text"))).alias("b")
     grouped = texts.groupBy(example, *keys).agg(F.sum("n").alias("votes"), F.count(F.lit(1)).alias("distinct_sqls"), best).withColumn("representative", F.col("b.text")).drop("b")

@@ -18,6 +18,12 @@ QUERY_NODES = frozenset(
     Window Sample UnresolvedTableValuedFunction UnresolvedTVFAliases UnresolvedTableValuedFunctionAlias CTERelationRef WithCTE Tail
     UnresolvedOrderBy LateralSubquery ParameterizedQuery NamedParametersQuery PosParametersQuery Deduplicate""".split()
 )
+#: Built-in functions that reach outside the tables; no statement may call them.
+OUTSIDE_FUNCTIONS = frozenset(
+    ("reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length", "current_user", "session_user", "user", "version", "python_worker_logs", "raise_error")
+)
+#: Functions that may stand for a table.
+TABLE_FUNCTIONS = frozenset(("range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "stack", "json_tuple", "variant_explode", "variant_explode_outer"))
 #: Aggregate functions that a signature names (fixed values).
 AGGREGATES = frozenset("count sum avg mean min max".split())
 
@@ -31,6 +37,7 @@ class Statement:
     aliases: dict[str, str] = field(default_factory=dict)
     columns: list[tuple[str, ...]] = field(default_factory=list)
     functions: list[str] = field(default_factory=list)
+    table_functions: list[str] = field(default_factory=list)
     literals: list[str] = field(default_factory=list)
     ctes: list[str] = field(default_factory=list)
     projections: int = 0
@@ -64,6 +71,8 @@ def _plan(node: Any, out: Statement, top: bool) -> None:
     out.nodes[kind] += 1
     if kind == "UnresolvedRelation":
         out.tables.append(".".join(_seq(node.multipartIdentifier())).lower())
+    elif kind == "UnresolvedTableValuedFunction":
+        out.table_functions.append(".".join(_seq(node.name())).lower())
     elif kind == "SubqueryAlias" and _name(node.child()) == "UnresolvedRelation":
         out.aliases[node.identifier().name().lower()] = ".".join(_seq(node.child().multipartIdentifier())).lower()
     elif kind in ("Project", "Aggregate"):
@@ -116,6 +125,25 @@ def unsafe_nodes(statement: Statement) -> list[str]:
     return sorted(set(statement.nodes) - QUERY_NODES)
 
 
+def reaches_outside(spark: SparkSession, statement: Statement) -> list[str]:
+    """What a statement names beyond views of the session and harmless built-in functions: files and tables of
+    other catalogs (names of several parts), functions that are not built in, and those that look outside."""
+    known = builtin_functions(spark)
+    found = [f"relation {t}" for t in statement.tables if "." in t or "/" in t]
+    found += [f"function {f}" for f in statement.functions if f not in known or f in OUTSIDE_FUNCTIONS]
+    found += [f"table function {f}" for f in statement.table_functions if f not in TABLE_FUNCTIONS]
+    return sorted(set(found))
+
+
+_builtin: dict[str, frozenset[str]] = {}
+
+
+def builtin_functions(spark: SparkSession) -> frozenset[str]:
+    if not _builtin:
+        _builtin["names"] = frozenset(r[0].lower() for r in spark.sql("SHOW SYSTEM FUNCTIONS").collect())
+    return _builtin["names"]
+
+
 def signature(spark: SparkSession, sql: str) -> dict[str, Any] | None:
     """What two statements are compared by; None if the text does not parse."""
     try:
@@ -163,10 +191,12 @@ MISMATCHES = {
 
 def structural_mismatches(spark: SparkSession, gold: str, predicted: str) -> list[str]:
     """In what two statements differ; nothing if either does not parse."""
-    a, b = signature(spark, gold), signature(spark, predicted)
-    if a is None or b is None:
+    parts = [signature(spark, sql) for sql in (gold, predicted)]
+    if None in parts:
         return []
-    return [label for k, label in MISMATCHES.items() if a[k] != b[k]] or ["other_semantic_mismatch"]
+    sides = [{(k, repr(v)) for k, v in part.items()} for part in parts]
+    differing = {k for k, _ in sides[0] ^ sides[1]}
+    return [MISMATCHES[k] for k in MISMATCHES if k in differing] if differing else ["other_semantic_mismatch"]
 
 
 def canonical_sql(spark: SparkSession, sql: str) -> str:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,16 @@ def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def checked_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON lines of small files, such as configurations: a broken line is an error that names its number."""
+    lines = numbered_lines(spark, path).filter("trim(value) <> ''")
+    parsed = lines.select("at", F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}).alias("r"), F.try_parse_json("value").alias("v"))
+    bad = parsed.filter("v is null or is_variant_null(v) or schema_of_variant(v) not like 'OBJECT%'").orderBy("at").select("at").first()
+    if bad:
+        raise ValueError(f"{path}: line {bad['at'] + 1} is no JSON object")
+    return parsed.orderBy("at").select("r.*")
+
+
 def statement_list(spark: SparkSession, path: str) -> DataFrame:
     """Lines ``statement<TAB>name`` as split (the file's name), query and db_id."""
     lines = spark.read.text(path).filter("trim(value) <> ''")
@@ -47,8 +58,19 @@ def statement_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(at, value): lines of one file by their place from 0."""
-    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("at", "value"))
+    """(at, value): lines of a file, or of the files of a folder in order of their names, by their place from 0.
+
+    Files are split over tasks as any text. Spark numbers rows by task, in the order of the file; the sizes
+    of the tasks, a number for each, reach the driver and become the places where they begin.
+    """
+    lines = spark.read.text(path).select(F.input_file_name().alias("__f"), F.input_file_block_start().alias("__s"), F.monotonically_increasing_id().alias("__n"), "value")
+    blocks = lines.groupBy("__f", "__s").agg(F.count(F.lit(1)).alias("n"), F.min("__n").alias("first")).orderBy("__f", "__s").collect()
+    rows, before = [], 0
+    for r in blocks:
+        rows.append((r["__f"], r["__s"], r["first"], before))
+        before += r["n"]
+    starts = spark.createDataFrame(rows, "__f string, __s long, __first long, __before long")
+    return lines.join(F.broadcast(starts), ["__f", "__s"]).select((F.col("__n") - F.col("__first") + F.col("__before")).alias("at"), "value")
 
 
 def zipped(left: DataFrame, right: DataFrame, at: str = "at") -> DataFrame:
@@ -72,29 +94,63 @@ def training_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def discover(spark: SparkSession, folder: str) -> DataFrame:
-    """db_id and path of the Parquet folders or files one level below, each name once."""
+    """db_id and path of the tables ``<name>.parquet`` (files or folders) below a folder. A name that stands in two
+    places, and a folder without any, are an error."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(folder).select("path")
-    found = files.select(F.regexp_extract("path", r"([^/]+)\.parquet", 1).alias("db_id"), "path").groupBy("db_id").agg(F.min("path").alias("path"), F.count(F.lit(1)).alias("files"))
+    tables = files.select(F.regexp_extract("path", r"^(.*?/([^/]+)\.parquet)(?:/|$)", 1).alias("path")).distinct()
+    found = tables.select(F.regexp_extract("path", r"([^/]+)\.parquet$", 1).alias("db_id"), "path")
+    report = found.groupBy("db_id").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)).alias("names"), F.max("n").alias("most")).first()
+    if not report["names"]:
+        raise ValueError(f"{folder} holds no tables")
+    if report["most"] > 1:
+        raise ValueError(f"{folder} holds tables of one name in several places")
     return found
 
 
 def resolve(stored: str | None, fallbacks: Sequence[str], exists: set[str]) -> str:
-    """The stored path if it exists, else the first fallback that does."""
+    """The stored path if it exists, else the first fallback that does; a fallback may be a pattern (``*``), which
+    stands for its first match in order of name."""
     for path in [stored, *fallbacks]:
         if path and path in exists:
             return path
+        if path and "*" in path and (found := sorted(fnmatch.filter(exists, path))):
+            return found[0]
     raise KeyError(f"none of {[stored, *fallbacks]}; there are {sorted(exists)}")
 
 
-def verified(spark: SparkSession, path: str) -> DataFrame:
-    """path, size and SHA-256 of files, to be compared with a manifest."""
+def registry(found: DataFrame, db_id: str, suffixes: Sequence[str] = (".parquet",)) -> str:
+    """The path of a database by name among discovered ones (db_id, path), by the order of suffixes; an unknown one
+    is a KeyError that names those there are (the first 50)."""
+    rows = {r["path"]: r["db_id"] for r in found.filter(F.col("db_id") == db_id).collect()}
+    for suffix in suffixes:
+        for path in sorted(rows):
+            if path.endswith(suffix):
+                return path
+    there = [r["db_id"] for r in found.select("db_id").distinct().orderBy("db_id").limit(50).collect()]
+    raise KeyError(f"there is no {db_id}; there are {', '.join(there)}")
+
+
+def file_digests(spark: SparkSession, path: str) -> DataFrame:
+    """path, size and SHA-256 of files."""
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def verified(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame:
+    """The digests of files, if they are those of a manifest (name, bytes, sha256); a file that is missing, is not
+    named there or differs is an error."""
+    found = file_digests(spark, path).withColumn("name", F.regexp_extract("path", r"([^/]+)$", 1))
+    both = found.join(manifest.select("name", F.col("bytes").alias("b"), F.col("sha256").alias("s")), "name", "full")
+    bad = both.filter(~(F.col("bytes").eqNullSafe(F.col("b")) & F.col("sha256").eqNullSafe(F.col("s")))).select("name").limit(5).collect()
+    if bad:
+        raise ValueError(f"files differ from the manifest: {', '.join(r['name'] for r in bad)}")
+    return found
+
+
 def resume(rows: DataFrame, spark: SparkSession, done_path: str, schema: str, id: str = "id") -> DataFrame:
-    """Rows whose id is not in the JSON lines written before; all rows if there are none yet."""
-    try:
-        done = spark.read.schema(schema).json(done_path).select(id).distinct()
-    except Exception:  # noqa: BLE001 - nothing was written yet
+    """Rows whose id is not in the JSON lines written before; all rows if nothing was written yet. Output that
+    cannot be read is an error, it would be done again otherwise."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(done_path)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return rows
+    done = spark.read.schema(schema).option("mode", "FAILFAST").json(done_path).select(id).distinct()
     return rows.join(done, id, "left_anti")

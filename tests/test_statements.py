@@ -36,6 +36,19 @@ def db(spark):
         ("SELECT FROM WHERE", "error"),
         ("SELECT nope FROM person", "error"),
         ("SELECT 1 / 0", "error"),
+        ("SELECT java_method('java.lang.System', 'getProperty', 'user.home')", "unsafe"),
+        ("SELECT reflect('java.lang.System', 'getProperty', 'user.home')", "unsafe"),
+        ("SELECT try_reflect('java.lang.System', 'getProperty', 'user.home') FROM person", "unsafe"),
+        ("SELECT * FROM text.`/etc/hostname`", "unsafe"),
+        ("WITH a AS (SELECT * FROM parquet.`/tmp`) SELECT * FROM a", "unsafe"),
+        ("SELECT name FROM person WHERE EXISTS (SELECT 1 FROM csv.`/etc/passwd`)", "unsafe"),
+        ("SELECT name, input_file_name() FROM person", "unsafe"),
+        ("SELECT elsewhere.f(name) FROM person", "unsafe"),
+        ("SELECT no_such_function(name) FROM person", "unsafe"),
+        ("SELECT * FROM other_catalog.db.person", "unsafe"),
+        ("SELECT * FROM sql_keywords()", "unsafe"),
+        ("SELECT * FROM posexplode(array(1, 2))", "ok"),
+        ("SELECT upper(name), count(*) FROM person GROUP BY upper(name)", "ok"),
     ],
 )
 def test_gate(db, sql, status):
@@ -53,12 +66,41 @@ def test_caps(db):
 def test_validation(db):
     asked = ["SELECT 1", "SELECT nope FROM person", "SELECT 1", "DELETE FROM person"]
     assert [r.status for r in execute.validate_many(db, asked, 2)] == ["ok", "error", "ok", "unsafe"]
-    assert execute.validate_synthetic(db, {"p": "SELECT 1 AS a"}, "SELECT a FROM p") == "accepted"
-    assert execute.validate_synthetic(db, {"p": "SELECT 1 AS a"}, "SELECT b FROM p") == "target_execution_error"
+    assert execute.validate_synthetic(db, {"p": "SELECT 1 AS a"}, "SELECT a FROM p", 60) == "accepted"
+    assert execute.validate_synthetic(db, {"p": "SELECT 1 AS a"}, "SELECT b FROM p", 60) == "target_execution_error"
     assert execute.validate_synthetic(db, {"p": "SELEC"}, "SELECT b FROM p") == "context_execution_error"
     assert execute.validate_synthetic(db, {}, "SELECT 1") == "empty_schema"
-    cache = execute.GoldCache(db)
-    assert cache.get("SELECT 1") is cache.get("SELECT 1")
+    cache = execute.GoldCache(db, 60, most=2)
+    assert cache.get("SELECT 1") is cache.get("SELECT 1") is not cache.get("SELECT 1", db="other")
+    cache.get("SELECT 2")
+    assert len(cache.known) == 2
+
+
+def test_confined_session(db):
+    own = execute.confined(db, {"person": db.table("person")})
+    assert execute.run(own, 'SELECT "name" FROM person ORDER BY id', seconds=60).rows == [("Ada",), ("Lin",)]
+    assert execute.run(own, "SELECT * FROM child", seconds=60).status == "error"
+    with pytest.raises(Exception, match="TABLE_OR_VIEW_NOT_FOUND"):
+        own.sql("SELECT * FROM text.`/etc/hostname`")
+
+
+def test_scores_of_predictions(db):
+    score = lambda gold, sql: tuple(compare.score(db, gold, sql, 60).values())
+    assert score("SELECT name FROM person", "SELECT name FROM person ORDER BY name DESC") == ("ok", "ok", True, True)
+    assert score("SELECT name FROM person ORDER BY name", "SELECT name FROM person ORDER BY name DESC") == ("ok", "ok", False, False)
+    assert score("SELECT name, age FROM person", "SELECT DISTINCT age, name FROM person WHERE age > = 1") == ("ok", "error", False, True)
+    assert score("SELECT name FROM person", "DROP TABLE person") == ("ok", "unsafe", False, False)
+
+
+def test_rows_as_json():
+    result = execute.Result("ok", ["a", "b"], [(2, b"\x01"), (1, None)])
+    rows = execute.json_rows(result, ordered=False)
+    assert rows == ['[1, null]', '[2, {"bytes_hex": "01"}]']
+    assert execute.decoded_rows(rows) == [(1, None), (2, b"\x01")]
+    assert execute.json_rows(result, ordered=True)[0].startswith("[2")
+    assert execute.decoded_rows(['[{"b": 1, "a": [2]}]', "3"]) == [(("json", '{"a": [2], "b": 1}'),), (3,)]
+    assert execute.decoded_rows(["{"]) is None and execute.decoded_rows(None) is None
+    assert execute.json_rows(execute.Result("error"), False) is None
 
 
 def test_comparison(db):
@@ -100,6 +142,15 @@ def test_extraction(spark):
     assert f(tx.extract_sql, "Sure:\n```sql\nSELECT name FROM person;\n```") == "SELECT name FROM person"
     assert f(tx.extract_sql, "<think>no, SELECT bad</think> SELECT good") == "SELECT good"
     assert f(tx.extract_sql_strict, "people with the most") == ""
+    assert f(tx.extract_sql_strict, "<think>SELECT bad</think>\nSELECT 1") == "SELECT 1"
+    assert f(tx.extract_sql_strict, "```\nno statement, SELECT is a word\n```") == ""
+    assert f(tx.extract_fence, "a ```sql\nSELECT 1\n``` b") == "SELECT 1" and f(tx.extract_fence, " x ") == "x"
+    assert f(tx.has_order_by, "SELECT a FROM (SELECT b FROM c order  by d)") and not f(tx.has_order_by, "SELECT 1")
+    assert f(tx.first_verb_is_safe, "SELECT 1") and not f(tx.first_verb_is_safe, "  drop table x")
+    assert f(tx.dialect, "SELECT [a b], \"c\", '[x] \"y\" LIKE IIF(' FROM t WHERE x NOT like 'a' AND STRFTIME('%Y-%m', d) = IIF(a, 'b', 'c')") == "SELECT `a b`, `c`, '[x] \"y\" LIKE IIF(' FROM t WHERE x NOT ILIKE 'a' AND DATE_FORMAT(d, 'yyyy-MM') = IF(a, 'b', 'c')"
+    assert one(spark, tx.strip_trailing_name(F.col("s"), F.lit("db1")), s="SELECT 1 db1 ") == "SELECT 1"
+    assert one(spark, tx.schema_from_prompt(F.col("s"), F.lit("z")), s="Database Schema:\nt(a)\n\nQuestion: q") == "t(a)"
+    assert one(spark, tx.schema_from_prompt(F.col("s"), F.lit("z")), s="q") == "z"
     assert f(tx.extract_sql_strict, "Well: WITH a AS (SELECT 1) SELECT * FROM a; SELECT 2") == "WITH a AS (SELECT 1) SELECT * FROM a"
     assert f(tx.extract_sql_traced, "SELECT 1") == "" and f(tx.extract_sql_traced, "x</think>SELECT 1") == "SELECT 1"
     assert f(tx.strip_distinct, "SELECT DISTINCT 'distinct', \"distinct\", [distinct], 'it''s distinct' FROM t") == "SELECT  'distinct', \"distinct\", [distinct], 'it''s distinct' FROM t"
@@ -115,6 +166,11 @@ def test_features(spark):
     f = {k: one(spark, c, s=sql) for k, c in sf.query_features(F.col("s")).items()}
     assert f["join_count"] == 1 and f["has_group_by"] and f["has_having"] and f["aggregate_count"] >= 2 and f["complexity_proxy"] == "complex"
     assert one(spark, sf.subquery_locations(F.col("s")), s="SELECT a FROM t WHERE x IN (SELECT 1) AND y = (SELECT 2)") == ["WHERE", "AND"]
+    assert one(spark, sf.table_refs(F.col("s")), s="SELECT 1 FROM Tab JOIN b ON 1 = 1 JOIN TAB ON 2 = 2") == ["Tab", "b"]
+    assert one(spark, F.array_join(sf.where_operators(F.col("s")), " "), s="SELECT 1 FROM t WHERE a <> 3") == "< !=/<>"
+    g = {k: one(spark, c, s="SELECT a FROM b JOIN c ON d = e WHERE f IN ( SELECT 1)") for k, c in sf.gold_features(F.col("s")).items()}
+    assert (g["has_join"], g["multiple_joins"], g["has_subquery"], g["join_and_subquery"], g["long_sql"], g["join_count"]) == (True, False, True, True, False, 1)
+    assert one(spark, sf.missing_name(F.col("s"))["column"], s="[UNRESOLVED_COLUMN.WITH_SUGGESTION] A column with name `t`.`x` cannot be resolved") == "t.x"
     assert one(spark, sf.join_conditions(F.col("s")), s="x JOIN y ON a.b  = c.d") == ["a.b=c.d"]
 
 
