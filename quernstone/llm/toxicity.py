@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import column, mix, ship, slices, tidy
-from .rolling import grouped, range_hashes
+from .rolling import CHUNK, grouped, prefix_hashes, range_hashes, ranges
 
 PLACES, CHOSEN, FOLDS, RIDGE = 1 << 18, 4096, 5, 1.0
 BEGINNINGS = (4, 5, 6)
@@ -51,18 +51,21 @@ def features(texts: list[bytes], chosen: np.ndarray | None = None) -> tuple[np.n
     start, stop = edges[::2], edges[1::2]
     found = [np.empty(0, np.int64)]
     for a, b in grouped(start, stop):
-        whole = range_hashes(data, start[a:b], stop[a:b])
-        row = np.searchsorted(begins, start[a:b], "right") - 1
+        low, high = int(start[a]), int(stop[b - 1])
+        prefix = prefix_hashes(data[low:high]) if high - low <= CHUNK else None  # else it is one very long word
+        row, parts = np.searchsorted(begins, start[a:b], "right") - 1, []
         for k, most in enumerate((None, *BEGINNINGS)):
-            at = np.arange(b - a) if most is None else np.flatnonzero(stop[a:b] - start[a:b] >= most)
-            hashes = whole if most is None else range_hashes(data, start[a:b][at], start[a:b][at] + most)
+            at = np.arange(a, b) if most is None else a + np.flatnonzero(stop[a:b] - start[a:b] >= most)
+            end = stop[at] if most is None else start[at] + most
+            hashes = ranges(prefix, start[at] - low, end - low) if prefix is not None else range_hashes(data, start[at], end)
             place = (mix(hashes + np.uint64(k)) >> np.uint64(64 - 18)).astype(np.int64)
-            own = row[at]
+            own = row[at - a]
             if chosen is not None:
                 place = chosen[place]
                 own, place = own[place >= 0], place[place >= 0]
-            found.append(np.unique(own * PLACES + place))
-    both = np.unique(np.concatenate(found))
+            parts.append(own * PLACES + place)
+        found.append(np.unique(np.concatenate(parts)))
+    both = found[-1] if len(found) < 3 else np.unique(np.concatenate(found))
     return both // PLACES, both % PLACES
 
 

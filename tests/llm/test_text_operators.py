@@ -394,6 +394,19 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.predict_toxicity(empty, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), ("toxic",)).count() == 0
 
 
+def test_features_do_not_depend_on_the_groups(monkeypatch):
+    from quernstone.llm import rolling
+
+    rng = random.Random(3)
+    texts = [" ".join("x" * rng.randint(1, 9) + str(rng.randrange(9)) + "yé" * rng.randint(0, 60) for _ in range(n)).encode() for n in (0, 1, 40, 3)]
+    want = [x.tolist() for x in toxicity.features(texts)]
+    assert len(want[0]) > 50
+    for size in (10, 64):
+        monkeypatch.setattr(rolling, "CHUNK", size)
+        monkeypatch.setattr(toxicity, "CHUNK", size)
+        assert [x.tolist() for x in toxicity.features(texts)] == want
+
+
 def test_chain_by_brute_force():
     """The chain, refitted with plain matrices: later models learn from out-of-fold probabilities of earlier ones."""
     import numpy as np
