@@ -121,6 +121,11 @@ def small(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df)
 
 
+def small_if(df: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A table to be broadcast if it is small; if not, it is left to a join by its keys, of which there are many then."""
+    return df if df.limit(most + 1).count() > most else F.broadcast(df)
+
+
 def split_search(groups: DataFrame, chosen: int, trials: int = 50_000, seed: int = 17, group: str = "grp", label: str = "label", count: str = "n") -> DataFrame:
     """The best of ``trials`` choices of ``chosen`` whole groups for validation: trial, error, n_rows and groups.
 

@@ -236,6 +236,7 @@ def pair_cooccurrence(df: DataFrame, basket: str, item: str) -> DataFrame:
 def fk_alignment(conditions: DataFrame, keys: DataFrame) -> DataFrame:
     """Join conditions (l, r), each side ``table.column``, that are declared keys in either direction, or that name
     the same two columns as one, whatever the tables (as aliases do): n, aligned, by_column and percent."""
+    from .dataset import small_if
 
     def pair(a: Column, b: Column) -> Column:
         return F.array_join(F.array_sort(F.array(F.lower(a), F.lower(b))), "=")
@@ -246,7 +247,7 @@ def fk_alignment(conditions: DataFrame, keys: DataFrame) -> DataFrame:
     l, r = F.col("l"), F.col("r")
     whole = keys.select(pair(l, r).alias("k")).distinct().withColumn("hit", F.lit(1))
     named = keys.select(columns(l, r).alias("ck")).distinct().withColumn("column_hit", F.lit(1))
-    joined = conditions.withColumns({"k": pair(l, r), "ck": columns(l, r)}).join(whole, "k", "left").join(named, "ck", "left")
+    joined = conditions.withColumns({"k": pair(l, r), "ck": columns(l, r)}).join(small_if(whole), "k", "left").join(small_if(named), "ck", "left")
     out = joined.agg(F.count(F.lit(1)).alias("n"), F.count("hit").alias("aligned"), F.count_if(F.col("hit").isNull() & F.col("column_hit").isNotNull()).alias("by_column"))
     either = F.col("aligned") + F.col("by_column")
     return out.withColumn("aligned_pct", F.coalesce(F.bround(100.0 * either / F.nullif(F.col("n"), F.lit(0)), 1), F.lit(0.0)))
@@ -259,8 +260,11 @@ def reference_precision(refs: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _grounded(refs: DataFrame, known: DataFrame) -> DataFrame:
+    """Known names go to every task if they are few, so the references of a frequent name need not meet in one."""
+    from .dataset import small_if
+
     names = known.select("kind", F.lower("name").alias("k")).distinct().withColumn("hit", F.lit(1))
-    return refs.withColumn("k", F.lower("name")).join(names, ["kind", "k"], "left")
+    return refs.withColumn("k", F.lower("name")).join(small_if(names), ["kind", "k"], "left")
 
 
 def linking_precision(refs: DataFrame, known: DataFrame, id: str = "id", correct: str = "correct") -> DataFrame:
