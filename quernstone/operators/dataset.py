@@ -286,15 +286,40 @@ def source_violations(rows: DataFrame, split: str) -> DataFrame:
 
 
 def fingerprint(df: DataFrame, id: str) -> DataFrame:
-    """One digest of all ids as text, in order, a line each. The digest runs over one sequence, so the sorted ids
-    stream through the driver, a partition at a time; they are never held together."""
+    """One digest of all ids as text, in order, a line each, and the number of rows; nulls have no line. The digest
+    runs over one sequence: tasks sort the ids by ranges and pack each batch of them into one compressed piece, and
+    one task digests the pieces in order. A row of two values is all that reaches the driver."""
     import hashlib
 
-    digest, n = hashlib.sha256(), 0
-    for row in df.select(F.col(id).cast("string").alias("i")).orderBy("i").toLocalIterator(prefetchPartitions=True):
-        digest.update((("\n" if n else "") + row["i"]).encode())
-        n += 1
-    return df.sparkSession.createDataFrame([(digest.hexdigest(), n)], "fingerprint string, n long")
+    def pack(batches):
+        import zlib
+
+        import pyarrow as pa
+
+        for batch in batches:
+            ids = batch.column(0).drop_null().to_pylist()
+            body = zlib.compress("\n".join(ids).encode(), 1) if ids else None
+            yield pa.RecordBatch.from_pydict({"first": pa.array(ids[:1] or [None], pa.string()), "last": pa.array(ids[-1:] or [None], pa.string()), "body": pa.array([body], pa.binary()), "n": pa.array([batch.num_rows], pa.int64())})
+
+    def digest(batches):
+        import hashlib
+        import zlib
+
+        import pyarrow as pa
+
+        found, n, begun = hashlib.sha256(), 0, False
+        for batch in batches:
+            for body, rows in zip(batch.column(0), batch.column(1), strict=True):
+                n += rows.as_py()
+                if body.is_valid:
+                    found.update((b"\n" if begun else b"") + zlib.decompress(body.as_py()))
+                    begun = True
+        yield pa.RecordBatch.from_pydict({"fingerprint": pa.array([found.hexdigest()], pa.string()), "n": pa.array([n], pa.int64())})
+
+    pieces = df.select(F.col(id).cast("string").alias("i")).orderBy("i").mapInArrow(pack, "first string, last string, body binary, n long")
+    # Pieces with the same first and last id hold that one id only, so these two order them.
+    one = pieces.repartition(1).sortWithinPartitions("first", "last").select("body", "n").mapInArrow(digest, "fingerprint string, n long")
+    return one.agg(F.coalesce(F.max("fingerprint"), F.lit(hashlib.sha256().hexdigest())).alias("fingerprint"), F.coalesce(F.max("n"), F.lit(0)).cast("long").alias("n"))
 
 
 def split_usable(rows: DataFrame, status: str = "status") -> tuple[DataFrame, DataFrame]:

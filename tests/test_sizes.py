@@ -46,3 +46,17 @@ def test_few_known_names_need_no_shuffle(spark):
 
 def test_many_statements_are_not_broadcast(spark):
     assert "strategy=broadcast" not in plan_of(spark.range(9).join(dataset.small_if(spark.range(9), 8), "id"))
+
+
+def test_fingerprint_without_rows_on_the_driver(spark):
+    """Ids in several tasks and pieces, repeated ones and a null; made without a job that returns them."""
+    ids = [f"{k * 7919 % 1000}" for k in range(5000)]
+    rows = spark.createDataFrame([(i,) for i in ids] + [(None,)], "id string").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 100)
+    try:
+        out = dataset.fingerprint(rows, "id")
+        assert "MapInArrow" in plan_of(out)
+        assert out.first() == (hashlib.sha256("\n".join(sorted(ids)).encode()).hexdigest(), 5001)
+        assert dataset.fingerprint(rows.filter("id = 'x'"), "id").first() == (hashlib.sha256(b"").hexdigest(), 0)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
