@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import normalize_sql
@@ -18,13 +18,28 @@ def _n(upper: Column, pattern: str) -> Column:
 def query_features(sql: Column) -> dict[str, Column]:
     """Counts and flags of a statement, and its complexity by a weighted score."""
     text = normalize_sql(sql)
-    upper = F.upper(text)
+    found = _found(text, F.upper(text))
+    return found | {"complexity_proxy": _complexity(found)}
+
+
+def with_features(df: DataFrame, sql: Column) -> DataFrame:
+    """The table with the same features as columns. Text, upper case and features are steps of their own, so each
+    is computed once for a row, however often later expressions name it."""
+    texts = df.withColumn("__text", normalize_sql(sql)).withColumn("__upper", F.upper("__text"))
+    out = texts.withColumns(_found(F.col("__text"), F.col("__upper"))).drop("__text", "__upper")
+    return out.withColumn("complexity_proxy", _complexity({k: F.col(k) for k in out.columns}))
+
+
+def _found(text: Column, upper: Column) -> dict[str, Column]:
     counts = {"select_count": r"\bSELECT\b", "join_count": r"\bJOIN\b", "set_operation_count": SET_OPERATION, "aggregate_count": AGGREGATE}
     flags = {"has_group_by": r"\bGROUP\s+BY\b", "has_order_by": r"\bORDER\s+BY\b", "has_having": r"\bHAVING\b", "has_where": r"\bWHERE\b", "has_limit": r"\bLIMIT\b", "has_distinct": r"\bDISTINCT\b"}
     out = {"token_count": F.size(F.split(text, r"\s+")).cast("int")}
     out |= {k: _n(upper, p) for k, p in counts.items()}
     out["has_subquery"] = out["select_count"] > 1
-    out |= {k: upper.rlike(p) for k, p in flags.items()}
+    return out | {k: upper.rlike(p) for k, p in flags.items()}
+
+
+def _complexity(out: dict[str, Column]) -> Column:
     score = (
         out["join_count"]
         + 2 * out["has_subquery"].cast("int")
@@ -32,8 +47,7 @@ def query_features(sql: Column) -> dict[str, Column]:
         + sum((out[k].cast("int") for k in ("has_group_by", "has_having", "has_order_by")), F.lit(0))
         + (out["aggregate_count"] > 1).cast("int")
     )
-    out["complexity_proxy"] = F.when(score <= 1, "simple").when(score <= 3, "moderate").otherwise("complex")
-    return out
+    return F.when(score <= 1, "simple").when(score <= 3, "moderate").otherwise("complex")
 
 
 def matched_features(f: dict[str, Column]) -> Column:

@@ -487,8 +487,10 @@ def _written(distinct: str = "'DISTINCT '", least: str = "< =") -> str:
 
 
 def _statements(spark: SparkSession, d: str) -> DataFrame:
+    """The keys are few bytes and much work: a file that one task reads is spread first."""
     text = _written().replace("''distinct%''", "\\'distinct%\\'")
-    return table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("id"), F.expr(text).alias("sql"))
+    keys = table(spark, d, "part").select("p_partkey").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return keys.select(F.col("p_partkey").cast("int").alias("id"), F.expr(text).alias("sql"))
 
 
 _S = f"(SELECT p_partkey::INTEGER AS id, {_written()} AS sql FROM part)"
@@ -512,8 +514,7 @@ def _has(p: str) -> str:
 SELECT *, CASE WHEN s <= 1 THEN 'simple' WHEN s <= 3 THEN 'moderate' ELSE 'complex' END AS complexity_proxy FROM (SELECT * FROM f) JOIN (SELECT id, join_count + 2 * has_subquery::INTEGER + 2 * set_operation_count + has_group_by::INTEGER + has_having::INTEGER + has_order_by::INTEGER + (aggregate_count > 1)::INTEGER AS s FROM f) USING (id)""".replace("SELECT *, CASE", "SELECT * EXCLUDE (s), CASE"),
 )
 def _(spark, d):
-    f = sf.query_features(F.col("sql"))
-    return _statements(spark, d).select("id", *(c.alias(k) for k, c in f.items()))
+    return sf.with_features(_statements(spark, d), F.col("sql")).drop("sql")
 
 
 @_add(
@@ -521,8 +522,9 @@ def _(spark, d):
     "SELECT feature, count(*) AS n FROM (SELECT unnest([" + ", ".join(f"CASE WHEN {t} THEN '{k}' END" for k, t in {"aggregation": f"{_AC} > 0", "multiple_aggregates": f"{_AC} > 1", "join": f"{_JC} > 0", "multi_join": f"{_JC} > 1", "set_operation": f"{_UC} > 0", "subquery": f"{_SC} > 1", "join_and_subquery": f"{_JC} > 0 AND {_SC} > 1", "where": _has("WHERE"), "group_by": _has("GROUP BY"), "having": _has("HAVING"), "order_by": _has("ORDER BY"), "limit": _has("LIMIT"), "distinct": _has("DISTINCT")}.items()) + f"]) AS feature FROM {_S}) WHERE feature IS NOT NULL GROUP BY feature",
 )
 def _(spark, d):
-    tags = sf.matched_features(sf.query_features(F.col("sql")))
-    return _statements(spark, d).select(F.explode(tags).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
+    rows = sf.with_features(_statements(spark, d), F.col("sql"))
+    tags = sf.matched_features({k: F.col(k) for k in rows.columns})
+    return rows.select(F.explode(tags).alias("feature")).groupBy("feature").agg(F.count(F.lit(1)).alias("n"))
 
 
 _COMPONENTS = f"(CASE {_W} WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END + {_G} + {_O} + {_J})"

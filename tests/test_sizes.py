@@ -60,3 +60,17 @@ def test_fingerprint_without_rows_on_the_driver(spark):
         assert dataset.fingerprint(rows.filter("id = 'x'"), "id").first() == (hashlib.sha256(b"").hexdigest(), 0)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_features_are_computed_once_for_a_row(spark):
+    """The features as steps of their own are the same as the expressions."""
+    rows = spark.createDataFrame([(1, "SELECT count(*) FROM a JOIN b ON a.x = b.x WHERE a.y IN (SELECT 1)"), (2, None)], "id int, sql string").coalesce(1)
+    old, new = rows.select("id", *(c.alias(k) for k, c in sf.query_features(rows["sql"]).items())), sf.with_features(rows, rows["sql"]).drop("sql")
+    assert old.collect() == new.select(old.columns).collect()
+
+
+def test_features_of_a_part_file_are_spread(spark, tmp_path):
+    write(tmp_path, "part", "SELECT i AS p_partkey FROM range(2000) AS r(i)")
+    out = catalogue.queries()["feature_counts_exploded"](spark, str(tmp_path))
+    assert "Repartition" in plan_of(out)
+    assert equal_to_sql(spark, tmp_path, "feature_counts_exploded")
