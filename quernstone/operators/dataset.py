@@ -15,8 +15,8 @@ from ..functions.text import hash_fraction, is_read_only, normalize_sql, stable_
 from .evaluate import ranked_at
 
 
-def keep_first(df: DataFrame, key: Column, *order: str) -> DataFrame:
-    """The first row of each key."""
+def keep_first(df: DataFrame, key: Column | list[str], *order: Column | str) -> DataFrame:
+    """The first row of each key, an expression or some columns."""
     return df.withColumn("__rank", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter("__rank = 1").drop("__rank")
 
 

@@ -32,6 +32,20 @@ def equal_to_sql(spark, folder, name):
     return cells(df.select(columns).collect()) == cells(con.sql(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall())
 
 
+#: Two files; each row of the first has one of equal order, line and part in the second, which is larger, so Spark
+#: reads it first.
+TIED = [
+    f"SELECT (i // 3)::BIGINT AS l_orderkey, (1 + i % 3)::INTEGER AS l_linenumber, CASE WHEN i % 11 = 0 THEN NULL ELSE i % 5 END::BIGINT AS l_partkey, {quantity} AS l_quantity, {flag} AS l_returnflag, {status} AS l_linestatus FROM range({n}) AS r(i)"
+    for n, quantity, flag, status in ((300, "1.0 + i % 40", "substr('ANR', 1 + (i % 3)::INTEGER, 1)", "'F'"), (9000, "1.0 + i * 7 % 50", "substr('RAN', 1 + (i * 7 % 3)::INTEGER, 1)", "'O'"))
+]
+
+
+@pytest.mark.parametrize("name", ["published_vote"])
+def test_ties_go_to_the_first_row(spark, tmp_path, name):
+    write(tmp_path, "lineitem", *TIED)
+    assert equal_to_sql(spark, tmp_path, name)
+
+
 def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
