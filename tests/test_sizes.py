@@ -40,7 +40,7 @@ TIED = [
 ]
 
 
-@pytest.mark.parametrize("name", ["published_vote"])
+@pytest.mark.parametrize("name", ["published_vote", "rescore_candidates"])
 def test_ties_go_to_the_first_row(spark, tmp_path, name):
     write(tmp_path, "lineitem", *TIED)
     assert equal_to_sql(spark, tmp_path, name)
