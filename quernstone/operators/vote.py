@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .dataset import small
+from .dataset import small, small_if
 
 
 def clusters(candidates: DataFrame, example: str = "example", idx: str = "idx", signature: str = "signature") -> DataFrame:
@@ -83,7 +83,8 @@ def reselect(candidates: DataFrame, results: DataFrame, by_value: bool = True) -
     from ..functions.text import repair_operators, strip_distinct
 
     keyed = candidates.withColumn("__sql", strip_distinct(repair_operators(F.col("sql"))))
-    known = keyed.join(results.withColumnRenamed("sql", "__sql"), "__sql", "left")
+    # Few statements, each of very many candidates, must not meet in a task each.
+    known = keyed.join(small_if(results.withColumnRenamed("sql", "__sql")), "__sql", "left")
     return value_aware(known) if by_value else consensus(known)
 
 

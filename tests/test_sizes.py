@@ -50,6 +50,16 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_few_statements_of_many_candidates_need_no_shuffle(spark):
+    """The results of statements go to every task; by a join on the text, all candidates of one would meet in a task."""
+    rows = [(k, i, f"SELECT DISTINCT {'ab'[(k + i) % 2]} FROM t") for k in range(6) for i in range(3)]
+    candidates = spark.createDataFrame(rows, "example int, idx int, sql string")
+    results = spark.createDataFrame([("SELECT  a FROM t", "A", False, False)], "sql string, signature string, is_empty boolean, is_zero boolean")
+    out = vote.reselect(candidates, results)
+    assert {r.example: (r.chosen_idx, r.votes) for r in out.collect()} == {k: (k % 2, 2 - k % 2) for k in range(6)}
+    assert "strategy=broadcast" in plan_of(out)
+
+
 def test_few_known_names_need_no_shuffle(spark):
     refs = spark.createDataFrame([(k, k % 2 == 0, "table", "ab"[k % 2]) for k in range(6)], "id int, correct boolean, kind string, name string")
     known = spark.createDataFrame([("table", "A")], "kind string, name string")
@@ -88,3 +98,12 @@ def test_features_of_a_part_file_are_spread(spark, tmp_path):
     out = catalogue.queries()["feature_counts_exploded"](spark, str(tmp_path))
     assert "Repartition" in plan_of(out)
     assert equal_to_sql(spark, tmp_path, "feature_counts_exploded")
+
+
+def test_first_items_meet_by_order(spark, tmp_path):
+    """Rows are sorted where they meet, in parts of fixed number, and not a whole split of the file at once before."""
+    write(tmp_path, "lineitem", *TIED)
+    for name in ("reselect_candidates", "published_vote"):
+        out = catalogue.queries()[name](spark, str(tmp_path))
+        assert "RepartitionByExpression" in plan_of(out)
+        assert equal_to_sql(spark, tmp_path, name)
