@@ -16,7 +16,7 @@ from .functions import sqlfeatures as sf
 from .functions import text as tx
 from .operators import ask, compare, dataset, evaluate, records, schema, vote
 from .operators.execute import guarded
-from .session import TABLES, register, table
+from .session import TABLES, register, table, tables_of
 from .streaming import events as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -270,10 +270,15 @@ def _(spark, d):
 _VIEWS = "(SELECT v.table_name, c.column_name, c.column_index, c.data_type FROM (SELECT view_name AS table_name FROM duckdb_views() WHERE NOT internal) v JOIN duckdb_columns() c ON c.table_name = v.table_name)"
 
 
+def _every_column(spark: SparkSession, d: str) -> DataFrame:
+    names = tables_of(spark, d)
+    register(spark, d, names)
+    return schema.columns(spark, names)
+
+
 @_add("schema_columns", f"SELECT table_name, (column_index - 1)::INTEGER AS cid, column_name FROM {_VIEWS}")
 def _(spark, d):
-    register(spark, d)
-    return schema.columns(spark, TABLES).select("table_name", "cid", "column_name")
+    return _every_column(spark, d).select("table_name", "cid", "column_name")
 
 
 @_add("profile_of_every_table", " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(*) AS row_count, count(DISTINCT {c}) AS distinct_count, count(*) - count({c}) AS null_count FROM {t}" for t, cs in {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "labels": ["doc_id", "quality", "toxic"], "benchmark": ["item_id", "text"]}.items() for c in cs))

@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tables_of(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The names of all tables in a folder of any store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    found = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(path)
+    return sorted(n.removesuffix(".parquet") for n in (f.getPath().getName() for f in found) if n.endswith(".parquet"))
+
+
 def register(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> None:
     """Temp views over the Parquet tables; scans stay lazy, so unused tables and columns cost nothing."""
     for name in names or TABLES:

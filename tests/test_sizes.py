@@ -107,3 +107,11 @@ def test_first_items_meet_by_order(spark, tmp_path):
         out = catalogue.queries()[name](spark, str(tmp_path))
         assert "RepartitionByExpression" in plan_of(out)
         assert equal_to_sql(spark, tmp_path, name)
+
+
+@pytest.mark.parametrize("name", ["schema_columns"])
+def test_tables_of_the_folder_are_listed(spark, tmp_path, name):
+    """Every table that is there, whatever its name and types, and none that is not."""
+    write(tmp_path, "nation", "SELECT 1::INTEGER AS n_nationkey, 'a' AS n_name")
+    write(tmp_path, "pictures", "SELECT true AS seen, DATE '2020-01-02' AS taken, 'x'::BLOB AS body, ['a'] AS tags, [1.5::FLOAT] AS v, 1.25::DECIMAL(9, 2) AS price")
+    assert equal_to_sql(spark, tmp_path, name)
