@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import sqlfeatures as sf
@@ -1078,10 +1078,16 @@ def _(spark, d):
     return records.override(c, c.filter("id % 10 = 0").select("id", F.lit("X").alias("segment")), "id")
 
 
+def _sql_type(kind: Column) -> Column:
+    """A type as the SQL names it: DuckDB's name for those that its CASE leaves as they are."""
+    inner = F.regexp_extract(kind, "^ARRAY<(\\w+)>$", 1)
+    item = F.when(inner == "INT", "INTEGER").when(inner == "STRING", "VARCHAR").when(inner == "BINARY", "BLOB").otherwise(inner)
+    return F.when(kind == "BINARY", "BLOB").when((inner != "") & ~inner.isin("FLOAT", "DOUBLE"), F.concat(item, F.lit("[]"))).otherwise(kind)
+
+
 @_add("type_histogram", f"SELECT CASE data_type WHEN 'INTEGER' THEN 'INT' WHEN 'VARCHAR' THEN 'STRING' WHEN 'TIMESTAMP' THEN 'TIMESTAMP_NTZ' WHEN 'TIMESTAMP_NS' THEN 'TIMESTAMP_NTZ' WHEN 'TIMESTAMP WITH TIME ZONE' THEN 'TIMESTAMP' WHEN 'FLOAT[]' THEN 'ARRAY<FLOAT>' WHEN 'DOUBLE[]' THEN 'ARRAY<DOUBLE>' ELSE data_type END AS data_type, count(*) AS n_columns, count(DISTINCT table_name) AS n_tables FROM {_VIEWS} GROUP BY 1")
 def _(spark, d):
-    register(spark, d)
-    return records.type_histogram(schema.columns(spark, TABLES))
+    return records.type_histogram(_every_column(spark, d).withColumn("data_type", _sql_type(F.col("data_type"))))
 
 
 @_add("validation_records", "SELECT doc_id::VARCHAR AS id, source AS db_id, lang AS schema, text AS question, 'SELECT 1' AS gold_sql FROM documents WHERE doc_id % 4 = 0")

@@ -109,7 +109,7 @@ def test_first_items_meet_by_order(spark, tmp_path):
         assert equal_to_sql(spark, tmp_path, name)
 
 
-@pytest.mark.parametrize("name", ["schema_columns"])
+@pytest.mark.parametrize("name", ["schema_columns", "type_histogram"])
 def test_tables_of_the_folder_are_listed(spark, tmp_path, name):
     """Every table that is there, whatever its name and types, and none that is not."""
     write(tmp_path, "nation", "SELECT 1::INTEGER AS n_nationkey, 'a' AS n_name")
